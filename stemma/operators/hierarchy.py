@@ -25,10 +25,10 @@ def contract(links: DataFrame, ws: Workspace, max_rounds: int = 200) -> int:
     what it left, parents being nodes that are left after it. Returns the number of rounds; the last one
     leaves only roots and nodes that are their own parent.
     """
-    state = links.select("id", "parent", F.lit(1).alias("w"))
+    state = after = links.select("id", "parent", F.lit(1).alias("w"))
     for turn in range(max_rounds):
         if turn:
-            state = ws.spark.read.parquet(ws.path(f"round{turn - 1}")).where("not gone").select("id", "parent", "w")
+            state = after.where("not gone").select("id", "parent", "w")
         kids = state.where("parent is not null").groupBy("parent").agg(F.count("*").alias("n"), F.min("id").alias("only")).withColumnRenamed("parent", "k_id")
         marked = state.join(kids, state.id == kids.k_id, "left").drop("k_id")
         heads = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0
@@ -40,7 +40,7 @@ def contract(links: DataFrame, ws: Workspace, max_rounds: int = 200) -> int:
         by_child = marked.where(spliced).select(F.col("only").alias("c_id"), F.col("parent").alias("c_parent"), F.col("w").alias("c_w"))
         after = marked.join(by_child, marked.id == by_child.c_id, "left").select("id", F.coalesce("c_parent", "parent").alias("parent"), (F.col("w") + F.coalesce("c_w", F.lit(0))).cast("int").alias("w"), "gone")
         seen = Observation()
-        ws.save(after.observe(seen, F.count_if(~F.col("gone") & inner).alias("open")), f"round{turn}")
+        after = ws.save(after.observe(seen, F.count_if(~F.col("gone") & inner).alias("open")), f"round{turn}")
         if not seen.get["open"]:
             return turn + 1
     raise RuntimeError(f"not contracted after {max_rounds} rounds")
@@ -57,7 +57,8 @@ def resolve(links: DataFrame) -> DataFrame:
     nodes = links.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
     known = nodes.select(F.col("id").alias("k"))
     rounds = contract(nodes.join(known, nodes.parent == known.k, "left").select("id", F.col("k").alias("parent")), ws)
-    of = lambda k: spark.read.parquet(ws.path(f"round{k}"))
+    kind = f"id {nodes.schema['id'].dataType.simpleString()}, parent {nodes.schema['id'].dataType.simpleString()}, w int, gone boolean"
+    of = lambda k: spark.read.schema(kind).parquet(ws.path(f"round{k}"))
     cyclic = F.col("parent").isNotNull()
     core = of(rounds - 1).where("not gone").select("id", F.when(cyclic, F.lit(CYCLE)).otherwise(F.col("id")).alias("root_id"), F.when(cyclic, F.lit(-1)).otherwise(F.lit(0)).alias("depth"))
     ws.save(core, "done0")

@@ -207,22 +207,24 @@ def _km(lat1, lon1, lat2, lon2):
     return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, a)))
 
 
-def regions_of(points: DataFrame, regions: DataFrame, tile_degrees: float = 5.0, pieces: int = 16) -> DataFrame:
+def regions_of(points: DataFrame, regions: DataFrame, tile_degrees: float = 5.0, task_points: int = 100_000) -> DataFrame:
     """(id, region_id) of points(id, latitude, longitude) inside regions(region_id, ring: array<struct<lat, lon>>).
 
     A ring is closed by itself and must not cross the antimeridian; its lower and left edges belong to it, its
     upper and right ones do not. Points without a usable coordinate (see ``usable``) and rings that are null,
     hold nulls or have fewer than three corners take no part; a point in several regions gives several rows.
-    Points and the edges near them meet by tile; points of a tile are spread over ``pieces`` groups, so that
-    no tile is one task's alone.
+    Points and the edges near them meet by tile; a tile of more than ``task_points`` points is several groups.
     """
     t = tile_degrees
     pts = points.select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).where(F.col("id").isNotNull() & usable(F.col("latitude"), F.col("longitude")))
-    pts = pts.select("id", "lat", "lon", F.floor(F.col("lat") / t).cast("int").alias("ty"), F.floor(F.col("lon") / t).cast("int").alias("tx"), F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int").alias("piece"))
+    pts = pts.select("id", "lat", "lon", F.floor(F.col("lat") / t).cast("int").alias("ty"), F.floor(F.col("lon") / t).cast("int").alias("tx"))
+    # tiles are at most the globe's, so their counts are a small table
+    counts = pts.groupBy("ty", "tx").agg(F.ceil(F.count("*") / F.lit(task_points)).cast("int").alias("pieces"))
+    pts = pts.join(F.broadcast(counts), ["ty", "tx"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
     good = regions.where(F.col("region_id").isNotNull() & (F.size("ring") >= 3) & ~F.exists("ring", lambda c: c["lat"].isNull() | c["lon"].isNull()))
     box = lambda f, k: f(F.transform("ring", lambda c: c[k]))
     tiles = good.withColumn("ty", F.explode(F.sequence(F.floor(box(F.array_min, "lat") / t), F.floor(box(F.array_max, "lat") / t)))).withColumn("tx", F.explode(F.sequence(F.floor(box(F.array_min, "lon") / t), F.floor(box(F.array_max, "lon") / t))))
-    tiles = tiles.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).select("region_id", F.transform("ring", lambda c: c["lat"]).alias("ys"), F.transform("ring", lambda c: c["lon"]).alias("xs"), F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx"), "piece")
+    tiles = tiles.join(F.broadcast(counts), ["ty", "tx"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("region_id", F.transform("ring", lambda c: c["lat"]).alias("ys"), F.transform("ring", lambda c: c["lon"]).alias("xs"), F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx"), "piece")
     schema = f"id {pts.schema['id'].dataType.simpleString()}, region_id {good.schema['region_id'].dataType.simpleString()}"
 
     def sweep(_key, p, r):

@@ -58,9 +58,9 @@ links AS (
 
 ORACLE: dict[str, str] = {
     "p5_found": f"""WITH RECURSIVE {LINKS},
-up AS (SELECT id AS individual_id, id AS at, 0 AS depth FROM links
-  UNION ALL SELECT u.individual_id, l.parent, u.depth + 1 FROM up u JOIN links l ON l.id = u.at WHERE l.parent IS NOT NULL AND u.depth < 400)
-SELECT individual_id, CASE WHEN max(depth) >= 400 THEN 'cycle' ELSE max_by(at, depth) END AS root_id,
+up AS (SELECT id AS individual_id, id AS node, 0 AS depth FROM links
+  UNION ALL SELECT u.individual_id, l.parent, u.depth + 1 FROM up u JOIN links l ON l.id = u.node WHERE l.parent IS NOT NULL AND u.depth < 400)
+SELECT individual_id, CASE WHEN max(depth) >= 400 THEN 'cycle' ELSE max_by(node, depth) END AS root_id,
   CAST(CASE WHEN max(depth) >= 400 THEN -1 ELSE max(depth) END AS INTEGER) AS depth FROM up GROUP BY individual_id""",
     "p5_descendants": f"""WITH RECURSIVE {LINKS},
 up AS (SELECT id AS descendant_id, id AS ancestor_id, 0 AS distance FROM links
@@ -68,8 +68,8 @@ up AS (SELECT id AS descendant_id, id AS ancestor_id, 0 AS distance FROM links
 SELECT ancestor_id, descendant_id, CAST(distance AS INTEGER) AS distance FROM up
 WHERE distance > 0 AND descendant_id NOT IN (SELECT descendant_id FROM up WHERE distance = 400)""",
     "p5_paths": f"""WITH RECURSIVE {LINKS},
-up AS (SELECT id AS individual_id, id AS at, id AS path, 0 AS depth FROM links
-  UNION ALL SELECT u.individual_id, l.parent, l.parent || ' > ' || u.path, u.depth + 1 FROM up u JOIN links l ON l.id = u.at WHERE l.parent IS NOT NULL AND u.depth < 400)
+up AS (SELECT id AS individual_id, id AS node, id AS path, 0 AS depth FROM links
+  UNION ALL SELECT u.individual_id, l.parent, l.parent || ' > ' || u.path, u.depth + 1 FROM up u JOIN links l ON l.id = u.node WHERE l.parent IS NOT NULL AND u.depth < 400)
 SELECT individual_id, CASE WHEN max(depth) >= 400 THEN individual_id ELSE max_by(path, depth) END AS path FROM up GROUP BY individual_id""",
     "p6_found": """WITH p AS (SELECT * FROM places WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0))
 SELECT a.id AS id_a, b.id AS id_b FROM p a JOIN p b ON a.id < b.id AND abs(a.latitude - b.latitude) < 0.1
