@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import overlap, packing, tokens, vectors
+from stemma.llm import addresses, overlap, packing, tokens, vectors
 from stemma.plans import tables
 
 
@@ -19,6 +19,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlapping(overlap.family_records(tables.individuals(spark, folder), tables.citations(spark, folder)))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.same_location_pairs(tables.read(spark, folder, "places"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(tables.read(spark, folder, "documents"))
 
@@ -44,5 +48,5 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return one.groupBy("scope", "lang", "limit_id", "capacity").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.round(F.sum("used") / F.sum("capacity"), 4).alias("fill"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p7_ids, p8_containers, p8_fill)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p7_ids, p8_containers, p8_fill)}
 ORACLE: dict[str, str] = {}

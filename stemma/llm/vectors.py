@@ -7,7 +7,8 @@ query, to the other cells among its nearest lists. In a cell the lists are held
 scanned block by block, and a candidate is abandoned as soon as a hypothesis test on the partial distance says
 that it cannot be among the query's k best so far. Exact copies travel once and are expanded at the end.
 
-Every row is indexed and searched. Bounds: SAMPLE_ROWS rows train the lists; PROBES lists are scanned a query.
+Every row is indexed and searched. Bounds: SAMPLE_ROWS rows train the lists; of a query's PROBES nearest lists
+those within MARGIN of the nearest are scanned. Equal vectors are told by a 64-bit hash of their rounded numbers.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from stemma.plans.workspace import Workspace, cores, spread
 
-SAMPLE_ROWS = 24_000
-LIST_ROWS = 500
+SAMPLE_ROWS = 12_000
+LIST_ROWS = 1000
 CELL_ROWS = 12_000
-PROBES = 12
+PROBES = 8
+#: A list is only scanned if its centre's cosine is within this of the nearest centre's.
+MARGIN = 0.08
 #: Ends of the column blocks, and the significance of the test: a candidate is abandoned when its partial
 #: distance exceeds what the k-th best would show in that block by this many standard errors.
 BLOCKS = (32, 64, 128)
@@ -34,7 +37,7 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
     """Spherical k-means; empty lists keep their last centre."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -163,7 +166,7 @@ def usable_vectors(vectors: DataFrame, dim: int, key: str = "vec_id", column: st
     return vectors.select(F.col(key).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) == dim) & ~bad & F.exists(v, lambda e: e != 0))
 
 
-def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id", column: str = "embedding", probes: int = PROBES, list_rows: int = LIST_ROWS, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id", column: str = "embedding", probes: int = PROBES, margin: float = MARGIN, list_rows: int = LIST_ROWS, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, other, rank): the k most similar vectors of each usable vector, rank from 1, fewer if there are fewer.
 
     Order: cosine from high to low, then the smaller id. A vector is never its own neighbour; equal vectors
@@ -175,7 +178,7 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
     turn = rotation(dim)
 
     def prepare(batches):
-        import hashlib
+        import xxhash
 
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -184,33 +187,32 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             same = np.round(unit * 1e6).astype(np.int32)
             same[same == 0] = 0
-            keys = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in same]
+            keys = np.array([xxhash.xxh3_64_intdigest(r) for r in same], np.uint64).view(np.int64)
             turned = (unit.astype(np.float32) @ turn).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in turned], pa.binary())], names=["id", "same", "turned"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([r.tobytes() for r in turned], pa.binary())], names=["id", "same", "turned"])
 
     usable = usable_vectors(vectors, dim, key, column)
-    ready = spread(usable, 1).mapInArrow(prepare, "id bigint, same binary, turned binary")
+    ready = spread(usable, 1).mapInArrow(prepare, "id bigint, same bigint, turned binary")
     ready = ws.save(ready, "ready")
     # groups of equal vectors: their number, and the k + 1 smallest ids, pre-limited before the shuffle
-    ids = ready.select("id", "same").distinct() if False else ready.select("id", "same")
+    ids = ready.select("id", "same")
     small = ids.withColumn("nth", F.dense_rank().over(Window.partitionBy("same").orderBy("id"))).where(F.col("nth") <= k + 1)
     groups = small.groupBy("same").agg(F.sort_array(F.collect_set("id")).alias("first"))
-    groups = ws.save(groups.select("same", "first", F.col("first")[0].alias("rep")), "groups")
-    reps = ready.join(groups.select(F.col("rep").alias("id")).where("id is not null"), "id", "left_semi") if False else ready
+    groups = ws.save(groups, "groups")
     total = groups.count()
-    if total < 2 and not total:
+    if not total:
         return ids.select("id", F.col("id").alias("other"), F.lit(1).alias("rank")).limit(0)
     part = min(1.0, sample_rows / total)
     rows = ready.where(F.pmod(F.xxhash64("same"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).groupBy("same").agg(F.first("turned").alias("turned")).limit(2 * sample_rows).select("turned").toPandas()
     sample = np.stack([np.frombuffer(r, np.float16) for r in rows.turned]).astype(np.float32) if len(rows) else np.zeros((1, dim), np.float32)
     centres = kmeans(sample, max(1, min(len(sample) // 8 + 1, round(total / list_rows))))
     weight = np.bincount(nearest(sample, centres, 1)[:, 0], minlength=len(centres)).astype(float)
-    n_cells = max(1, round(total / cell_rows), min(len(centres), cores(spark) if total > 20_000 else 1))
+    n_cells = min(len(centres), max(1, round(total / cell_rows)))
     cell_of = cells_of_lists(centres, weight, n_cells)
     n_probes = min(probes, len(centres))
 
     def route(batches):
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
             same = batch.column(1).to_pylist()
             # a copy met before in this partition need not travel again
@@ -224,21 +226,22 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
                 continue
             x = np.stack([np.frombuffer(r, np.float16) for r in batch.column(2).to_pylist()]).astype(np.float32)
             near = nearest(x, centres, n_probes)
+            sim = np.einsum("ij,ikj->ik", x, centres[near])
             cell = cell_of[near]
-            done = np.zeros_like(cell, bool)
+            done = sim < sim[:, :1] - margin
             for c in range(n_probes):
                 todo = ~done[:, c]
                 rows = np.flatnonzero(todo)
                 if not len(rows):
                     continue
-                here = cell[rows] == cell[rows, c][:, None]
+                here = (cell[rows] == cell[rows, c][:, None]) & ~done[rows]
                 done[rows] |= here
                 lists = np.where(here, near[rows], -1).astype(np.int32)
                 lists = [r[r >= 0].tolist() for r in lists]
                 taken = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([taken.column(1), taken.column(2), pa.array(cell[rows, c].astype(np.int32)), pa.array(np.full(len(rows), c == 0)), pa.array(lists, pa.list_(pa.int32()))], names=["same", "turned", "cell", "home", "lists"])
 
-    routed = ready.mapInArrow(route, "same binary, turned binary, cell int, home boolean, lists array<int>")
+    routed = ready.mapInArrow(route, "same bigint, turned binary, cell int, home boolean, lists array<int>")
 
     def search(table):
         table = table.combine_chunks()
@@ -263,17 +266,15 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
         found, far = best.i[some], best.d[some]
         ok = found >= 0
         ends = np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32)
-        keys = table.column("same")
-        other = keys.take(pa.array(home[found[ok]]))
-        other = other.combine_chunks() if isinstance(other, pa.ChunkedArray) else other
-        cos = pa.array((1 - far[ok] / 2).astype(np.float32))
-        pairs = pa.StructArray.from_arrays([cos, other], names=["cos", "same"])
-        return pa.table({"same": keys.take(pa.array(some)), "near": pa.ListArray.from_arrays(pa.array(ends), pairs)})
-
-    found = routed.groupBy("cell").applyInArrow(search, "same binary, near array<struct<cos: float, same: binary>>")
+        names = table.column("same").to_numpy()
+        lists_of = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+        return pa.table({"same": pa.array(names[some]), "cos": lists_of((1 - far[ok] / 2).astype(np.float32)), "near": lists_of(names[home[found[ok]]])})
+
+    found = routed.groupBy("cell").applyInArrow(search, "same bigint, cos array<float>, near array<bigint>")
     # a vector was searched in a few cells, at most as many as it has probes
-    ordered = F.slice(F.sort_array(F.flatten(F.collect_list("near")), asc=False), 1, k)
-    knn = ws.save(found.groupBy("same").agg(ordered.alias("near")), "knn")
+    both = lambda c, n: F.struct(c.alias("cos"), n.alias("same"))
+    zipped = F.flatten(F.transform(F.collect_list(F.struct("cos", "near")), lambda r: F.zip_with(r["cos"], r["near"], both)))
+    knn = ws.save(found.groupBy("same").agg(F.slice(F.sort_array(zipped, asc=False), 1, k).alias("near")), "knn")
     return _expand(ws, ids, groups, knn, k)
 
 
