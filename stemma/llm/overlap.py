@@ -17,6 +17,9 @@ Frequencies are counted over all texts in a hashed table of fixed size, so what
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from stemma.plans.workspace import Workspace, cores, spread
 
 BUCKETS = 1 << 18
-#: Texts one n-gram should be expected to hold.
-BLOCK_TEXTS = 24.0
+#: Texts one n-gram should be expected to hold. More texts mean fewer n-grams to ship and more pairs to look at.
+BLOCK_TEXTS = 2000.0
+#: Bits of a filed row that hold the text's size; larger sizes are not used to discard.
+SIZE_MASK = 0xFFF
 
 
 def words(text: Column) -> Column:
@@ -86,73 +91,132 @@ def overlapping(records: DataFrame, share: float = 0.8, least: int = 20, id_col:
     """
     spark = records.sparkSession
     ws = Workspace(spark, "overlap")
-    sized = records.select(F.col(id_col).alias("record"), words(F.col(text_col)).alias("w")).where((F.size("w") >= least) & F.col("record").isNotNull())
-    bag = F.array_join(F.array_sort("w"), " ")
-    sized = sized.select("record", bag.alias("bag"))
-    # equal bags of words are one text, named by the digest
-    sized = ws.save(sized.select("record", F.md5("bag").alias("text"), "bag"), "sized")
-    members = sized.select("record", "text")
-    texts = ws.save(sized.groupBy("text").agg(F.first("bag").alias("bag")), "texts")
-    texts = spread(texts, cores(spark))
+    w = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("record"), words(F.col(text_col)).alias("w")).where(F.size("w") >= least)
+    bags = w.select("record", F.array_join(F.array_sort("w"), " ").alias("bag"))
+    # equal bags of words are one text, named by a 64-bit hash
+    bags = ws.save(bags.select("record", F.xxhash64("bag").alias("no"), "bag"), "bags")
+    work = spread(bags.select("no", "bag"), cores(spark))
 
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
-        rows = 0
+        rows, seen = 0, set()
         for batch in batches:
-            for c in _columns(batch.column(0).to_pylist()):
-                rows += 1
-                np.add.at(total, c % BUCKETS, 1)
+            for no, c in zip(batch.column(0).to_pylist(), _columns(batch.column(1).to_pylist())):
+                if no not in seen:
+                    seen.add(no)
+                    rows += 1
+                    np.add.at(total, c % BUCKETS, 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["bucket", "n"])
 
     # at most BUCKETS + 1 rows come to the driver, whatever the size of the data
-    counted = texts.select("bag").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = work.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS, np.int64)
     real = counted[counted.bucket >= 0]
     df[real.bucket.to_numpy()] = real.n.to_numpy()
     total = int(counted.n[counted.bucket < 0].sum())
     shipped = spark.sparkContext.broadcast(df)
 
-    def rows_of(batches):
-        freq = shipped.value
+    def file(batches):
+        freq, seen = shipped.value, set()
         for batch in batches:
-            names, sizes, cols, keys, s1, s2 = [], [], [], [], [], []
-            for name, c in zip(batch.column(0).to_pylist(), _columns(batch.column(1).to_pylist())):
+            nos, sizes, s1, s2, keys = [], [], [], [], []
+            for no, c in zip(batch.column(0).to_pylist(), _columns(batch.column(1).to_pylist())):
+                if no in seen:
+                    continue
+                seen.add(no)
                 f = freq[c % BUCKETS]
                 order = np.lexsort((c, f))
                 c, f = c[order], f[order]
                 n = len(c)
-                need = -int(-share * n // 1) if abs(share * n - round(share * n)) > 1e-9 else round(share * n)
-                keys.append(np.array(ngram_keys(c.tolist(), (f / total).tolist(), n - need, total, block_texts), np.uint64).view(np.int64))
-                bit = (c >> 20) & 127
-                sketch = np.bitwise_xor.reduce(np.where(bit < 64, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0)))
-                sketch2 = np.bitwise_xor.reduce(np.where(bit >= 64, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0)))
-                names.append(name)
-                sizes.append(n)
-                cols.append(c)
-                s1.append(sketch)
-                s2.append(sketch2)
-            longs = lambda rows: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int32()), longs(cols), longs(keys), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64))], names=["text", "n", "cols", "keys", "s1", "s2"])
-
-    matrix = texts.mapInArrow(rows_of, "text string, n int, cols array<bigint>, keys array<bigint>, s1 bigint, s2 bigint")
-    # short numbers for texts keep the filed rows narrow
-    matrix = ws.save(matrix.withColumn("no", F.monotonically_increasing_id()), "matrix")
-    filed = matrix.select("no", "n", "s1", "s2", F.explode("keys").alias("key"))
-    a = filed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("no", "n", "s1", "s2")])
-    b = filed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("no", "n", "s1", "s2")])
-    longer, shorter = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
-    need = F.ceil(longer * F.lit(share) - F.lit(1e-9))
-    differ = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    hits = a.join(b.hint("merge"), "key").where((F.col("no_a") < F.col("no_b")) & (shorter >= need) & (differ <= longer + shorter - 2 * need))
-    pairs = ws.save(hits.select("no_a", "no_b").distinct(), "pairs")
-    one = matrix.select(F.col("no").alias("no_a"), F.col("text").alias("text_a"), F.col("cols").alias("cols_a"))
-    two = matrix.select(F.col("no").alias("no_b"), F.col("text").alias("text_b"), F.col("cols").alias("cols_b"))
-    both = pairs.join(one, "no_a").join(two, "no_b")
-    common = F.size(F.array_intersect("cols_a", "cols_b"))
-    linked = both.where(common >= F.ceil(F.greatest(F.size("cols_a"), F.size("cols_b")) * F.lit(share) - F.lit(1e-9))).select("text_a", "text_b")
-    linked = ws.save(linked, "linked")
-    return _expand(members, linked)
+                keys.append(np.array(ngram_keys(c.tolist(), (f / total).tolist(), n - needed(n, share), total, block_texts), np.uint64))
+                nos.append(no)
+                sizes.append(len(keys[-1]))
+                one, two = sketch(c)
+                s1.append(one)
+                # the low bits of the second word hold the size, so that a filed row is three words beside its key
+                s2.append((two & ~np.uint64(SIZE_MASK)) | np.uint64(min(n, SIZE_MASK)))
+            times = np.array(sizes, np.int64)
+            col = lambda v, kind: pa.array(np.repeat(np.array(v, kind), times).view(np.int64))
+            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), col(nos, np.int64), col(s1, np.uint64), col(s2, np.uint64)], names=["key", "no", "s1", "s2"])
+
+    filed = work.mapInArrow(file, "key bigint, no bigint, s1 bigint, s2 bigint")
+    blocks = max(2 * cores(spark), total // 8000)
+    shared = share
+
+    def multiply(table):
+        cols = [table.column(c).to_numpy() for c in ("key", "no", "s1", "s2")]
+        order = np.argsort(cols[0], kind="stable")
+        key, no, one, two = [c[order] for c in cols]
+        one, two = one.view(np.uint64), two.view(np.uint64)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+        last = np.append(first[1:], len(key))
+        left, right = [], []
+        for a, b in zip(first[last - first > 1], last[last - first > 1]):
+            for i, j in block_pairs(one[a:b], two[a:b], shared):
+                left.append(no[a + i])
+                right.append(no[a + j])
+        x = np.concatenate(left) if left else np.zeros(0, np.int64)
+        y = np.concatenate(right) if right else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+        return pa.table({"no_a": pa.array(np.ascontiguousarray(pairs[:, 0])), "no_b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+    hits = filed.groupBy(F.pmod("key", F.lit(blocks)).alias("block")).applyInArrow(multiply, "no_a bigint, no_b bigint")
+    pairs = ws.save(hits.distinct(), "pairs")
+    asked = pairs.select(F.col("no_a").alias("no")).unionByName(pairs.select(F.col("no_b").alias("no"))).distinct()
+    texts = bags.select("no", "bag").join(asked, "no", "left_semi").groupBy("no").agg(F.first("bag").alias("bag"))
+    texts = ws.save(texts, "texts")
+    one = texts.select(F.col("no").alias("no_a"), F.col("bag").alias("bag_a"))
+    two = texts.select(F.col("no").alias("no_b"), F.col("bag").alias("bag_b"))
+
+    def accumulate(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = Counter(a.split(" ")), Counter(b.split(" "))
+                common = sum(min(n, y[t]) for t, n in x.items())
+                keep.append(common >= needed(max(a.count(" "), b.count(" ")) + 1, shared))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["text_a", "text_b"])
+
+    both = pairs.join(one, "no_a").join(two, "no_b").select("no_a", "no_b", "bag_a", "bag_b")
+    linked = ws.save(both.mapInArrow(accumulate, "text_a bigint, text_b bigint"), "linked")
+    return _expand(bags.select("record", F.col("no").alias("text")), linked)
+
+
+def needed(n: int, share: float) -> int:
+    """Words a partner must share with a text of n words, at least: the ceiling of share * n."""
+    return math.ceil(share * n - 1e-9)
+
+
+def sketch(columns: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 parity bits of a row: two rows that differ in d columns differ in at most d bits."""
+    bit = (columns >> 20) & 127
+    one = np.uint64(1) << (bit & 63).astype(np.uint64)
+    low = bit < 64
+    return np.bitwise_xor.reduce(one[low], initial=np.uint64(0)), np.bitwise_xor.reduce(one[~low], initial=np.uint64(0))
+
+
+def block_pairs(one: np.ndarray, two: np.ndarray, share: float, rows: int = 2048):
+    """(i, j) of a block's rows that neither their sizes nor their sketches rule out, i < j, tile by tile."""
+    size = (two & np.uint64(SIZE_MASK)).astype(np.int64)
+    need = np.ceil(size * share - 1e-9).astype(np.int64)
+    # sizes that do not fit the field rule nothing out
+    open_ = size == SIZE_MASK
+    rest = two & ~np.uint64(SIZE_MASK)
+    for a in range(0, len(one), rows):
+        for b in range(a, len(one), rows):
+            p, q = slice(a, a + rows), slice(b, b + rows)
+            differ = np.bitwise_count(one[p][:, None] ^ one[q][None, :]) + np.bitwise_count(rest[p][:, None] ^ rest[q][None, :])
+            more = np.maximum(need[p][:, None], need[q][None, :])
+            both = size[p][:, None] + size[q][None, :]
+            ok = (differ <= both - 2 * more) & (np.minimum(size[p][:, None], size[q][None, :]) >= more)
+            if open_.any():
+                ok |= open_[p][:, None] | open_[q][None, :]
+            i, j = np.nonzero(np.triu(ok, 1) if a == b else ok)
+            if len(i):
+                yield a + i, b + j
 
 
 def _expand(members: DataFrame, linked: DataFrame) -> DataFrame:

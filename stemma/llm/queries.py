@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import addresses, overlap, packing, tokens, vectors
+from stemma.llm import addresses, names, overlap, packing, personal, tokens, vectors
+from stemma.functions import exprs
 from stemma.plans import tables
 
 
@@ -23,6 +24,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.same_location_pairs(tables.read(spark, folder, "places"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    people = names.persons(tables.individuals(spark, folder), tables.families(spark, folder))
+    where = addresses.locations(tables.read(spark, folder, "places")).withColumnRenamed("id", "place_id")
+    located = people.withColumn("place_id", exprs.place_id(F.col("place"))).join(where, "place_id")
+    return names.same_person_pairs(located, tables.read(spark, folder, "name_forms"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(tables.read(spark, folder, "documents"))
 
@@ -48,5 +56,18 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return one.groupBy("scope", "lang", "limit_id", "capacity").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.round(F.sum("used") / F.sum("capacity"), 4).alias("fill"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p7_ids, p8_containers, p8_fill)}
+def _finder(spark: SparkSession, folder: str) -> personal.Finder:
+    t = lambda name: tables.read(spark, folder, name)
+    return personal.finder(t("documents"), t("individuals"), t("name_forms"), t("places"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.find_items(tables.read(spark, folder, "documents"), _finder(spark, folder))
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.redact(tables.read(spark, folder, "documents"), _finder(spark, folder))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p7_ids, p8_containers, p8_fill, p9_found, p9_redacted)}
 ORACLE: dict[str, str] = {}
