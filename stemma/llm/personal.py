@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.llm.names import COMMON_SHORT, contained
 from stemma.plans.workspace import cores, spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "name")
@@ -31,6 +32,7 @@ NUMBER = re.compile(rf"(?<![\w@/.\-])(?:[A-Z]{{1,3}}(?:[  \-]?\d{{1,6}}){{1,4}}
 #: The ways in which identity numbers are written: groups of letters and digits.
 ID_SHAPES = [r"[A-Z]{2}(?: ?\d\d){3} ?[A-D]", r"[A-Z]-\d{4}-\d{2}-[A-Z]", r"\d{3}[- ]\d{2}[- ]\d{4}", r"[A-Z]{3} ?\d{3} ?\d{3} ?\d{3}", r"\d{6}-\d{5}", r"[A-Z]{2}\d{7}"]
 ID_SHAPE = re.compile("|".join(f"(?:{s})" for s in ID_SHAPES))
+ID_NUMBER = re.compile(rf"(?<![\w@/.\-])(?:{ID_SHAPE.pattern.replace(' ?', '[  ]?').replace('[- ]', '[-  ]')})(?![\w\-/]|\.\d)")
 #: Street types in three languages and their abbreviations.
 TYPES = "Street|St|Str|Road|Rd|Lane|La|Ln|Court|Ct|Crt|Place|Pl|Avenue|Ave|Av|Square|Sq|Terrace|Terr|Ter|Tce|Drive|Dr|Close|Row|Way|Crescent|Cres|Boulevard|Blvd"
 UNIT = rf"(?:Flat|Apt|Unit|Apartment|Suite|Room|No){S}?\.?{S}?\d+[a-z]?,?{S}+"
@@ -48,6 +50,8 @@ TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+(?:['’\-][A-Za-zÀ-ÖØ-öø
 TITLES = {"mr", "mrs", "miss", "ms", "dr", "rev", "capt", "sir", "mme", "mlle", "m", "herr", "frau", "abbé", "l'abbé", "l’abbé", "widow", "frl", "lady", "prof", "sgt", "lt", "col", "maj", "pfarrer", "fräulein", "dame"}
 SHIPS = {"brig", "ship", "schooner", "barque", "bark", "steamer", "sloop", "vessel", "boat", "hms", "ss"}
 HOUSES = {"hall", "house", "lodge", "manor", "farm", "mill", "cottage", "inn", "grange", "abbey", "castle", "parish", "chapel", "church", "street", "lane", "road", "court", "place", "square", "terrace", "avenue", "county"}
+MONTHS = {"may", "april", "june", "august", "march", "mai", "juni", "jan", "avril", "juin"}
+GREETINGS = {"dear", "cher", "chère", "liebe", "lieber", "looking", "signed", "witnesses", "passport", "yours", "the", "and", "from", "child", "bapt", "ever"}
 TAGS = {"name", "indi", "birt", "deat", "plac", "date", "sour", "note", "resi", "famc", "fams", "husb", "wife", "chil", "page"}
 PARTICLES = {"van", "von", "de", "der", "den", "du", "la", "le"}
 PLACE_CUES = {"at", "in", "near", "from", "of", "behind", "beyond", "inside", "under", "above", "along", "bei", "aus", "nach", "in", "à"}
@@ -60,6 +64,12 @@ def bucket(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), seed=42) & (BUCKETS - 1)
 
 
+@lru_cache(maxsize=20_000)
+def contraction(word: str) -> bool:
+    """Whether a word can be a written contraction of a common given name."""
+    return len(word) >= 2 and any(f[0] == word[0] and len(word) < len(f) and contained(word, f) for f in COMMON_SHORT)
+
+
 class Lists:
     """How many rows hold a word as a given name, a surname, a place, or in lower case in a text: one byte a bucket, up to 255."""
 
@@ -95,6 +105,8 @@ def word_lists(documents: DataFrame, individuals: DataFrame, name_forms: DataFra
     part = lambda df, c, kind, times=1: df.where(F.col(c).isNotNull()).select(F.lit(kind).cast("int").alias("kind"), F.col(c).alias("w"))
     rows = part(individuals, "given_name", 0).unionByName(part(individuals, "surname", 1)).unionByName(part(places, "original", 2))
     forms = part(name_forms, "formal", 0).unionByName(part(name_forms, "short_form", 0))
+    more = [(w,) for formal, short in COMMON_SHORT.items() for w in (formal, *short.split())]
+    forms = forms.unionByName(part(documents.sparkSession.createDataFrame(more, "more string"), "more", 0))
     rows = rows.unionByName(forms.withColumn("w", F.explode(F.array_repeat("w", 6))))
     counted = rows.mapInArrow(tally, "kind int, bucket bigint, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
     plain = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![\\\\p{L}'])(\\\\p{Ll}{3,})"), 1))).alias("w"))
@@ -118,7 +130,9 @@ def propose(text: str, lists: Lists) -> list[Span]:
     free = lambda a, b: all(b <= x or a >= y for x, y in shut)
     if any(c.isdigit() for c in text):
         out += [Span(m.start(), m.end(), 1, 1) for m in PHONE.finditer(text) if free(m.start(), m.end())]
-        out += [Span(m.start(), m.end(), 2, 2) for m in NUMBER.finditer(text) if free(m.start(), m.end())]
+        out += [Span(m.start(), m.end(), 2, 2) for m in ID_NUMBER.finditer(text) if free(m.start(), m.end())]
+        sure = [(s.start, s.end) for s in out if s.kind == 2]
+        out += [Span(m.start(), m.end(), 2, 20) for m in NUMBER.finditer(text) if free(m.start(), m.end()) and all(m.end() <= x or m.start() >= y for x, y in sure)]
         out += [Span(m.start(), m.end(), 3, 3) for m in STREET.finditer(text) if free(m.start(), m.end())]
     streets = [(s.start, s.end) for s in out if s.kind == 3]
     tokens = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text)]
@@ -131,7 +145,12 @@ def propose(text: str, lists: Lists) -> list[Span]:
     tight = lambda k: k + 1 < n and bool(gap(k)) and not gap(k).strip("  ​\t  ﻿")
     dotted = lambda k: k + 1 < n and gap(k)[:1] == "." and not gap(k)[1:].strip("  ​\t")
     comma = lambda k: k + 1 < n and gap(k)[:1] == "," and len(gap(k)) > 1 and not gap(k)[1:].strip("  ​\t")
-    given = lambda k: lists.of(low[k])[0] >= 3 and low[k] not in TITLES
+    dated = lambda k: low[k] in MONTHS and bool(re.search(r"\d\W*$", text[max(0, tokens[k][1] - 4) : tokens[k][1]]) or re.match(r"\W{0,2}\d", text[tokens[k][2] : tokens[k][2] + 3]))
+
+    def given(k: int) -> bool:
+        g, f, *_ = lists.of(low[k])
+        return g >= 3 and g > f and low[k] not in TITLES and not dated(k)
+
     upper = lambda k: tokens[k][0][0].isupper()
     initial = lambda k: len(low[k]) == 1 and upper(k) and (tokens[k][0].isupper())
     owned = lambda k: tokens[k][0].replace("’", "'").lower().endswith("'s")
@@ -147,7 +166,7 @@ def propose(text: str, lists: Lists) -> list[Span]:
         if j >= n or len(low[j]) < 3 or low[j] in TITLES:
             return 0
         name = " ".join(low[k : j + 1])
-        known = max(lists.of(name)[1], lists.of(low[j])[1])
+        known = max(lists.of(v)[1] if lists.of(v)[1] >= lists.of(v)[0] else 0 for v in (name, low[j]))
         if known >= 2 or (k and not upper(j) and given(k - 1) and not upper(k - 1) and len(low[j]) >= 5 and lists.of(low[j])[3] < 8 and not lists.of(low[j])[2] >= 3) or (upper(j) and low[j] not in TAGS and not lists.of(low[j])[2] >= 3 and len(low[j]) >= 4):
             return j - k + 1
         return 0
@@ -170,7 +189,8 @@ def propose(text: str, lists: Lists) -> list[Span]:
 
     while i < n:
         t, a, b = tokens[i]
-        if not (upper(i) or given(i)) or not free(a, b) or any(x <= a < y for x, y in streets):
+        titled = i > 0 and low[i - 1] in TITLES
+        if not (upper(i) or given(i) or (titled and low[i] in PARTICLES)) or not free(a, b) or any(x <= a < y for x, y in streets):
             i += 1
             continue
         g = given_run(i)
@@ -181,11 +201,18 @@ def propose(text: str, lists: Lists) -> list[Span]:
                 out.append(Span(a, end_of(last), 4, 10, (i, last)))
                 i = last + 1
                 continue
-        if g and i + g < n and text[tokens[i + g - 1][2] : tokens[i + g][1]].strip(" ") == "/" and (m := re.compile(r"/([^/\n]{2,40})/").match(text, tokens[i + g - 1][2] + text[tokens[i + g - 1][2] :].find("/"))):
+        if g and i + g < n and text[tokens[i + g - 1][2] : tokens[i + g][1]] in (" /", "/") and (m := re.compile(r"/(\w[^/\n]{0,38}\w)/").match(text, tokens[i + g - 1][2] + text[tokens[i + g - 1][2] :].find("/"))):
             out.append(Span(a, m.end(), 4, 15, (i, i + g)))
             while i < n and tokens[i][1] < m.end():
                 i += 1
             continue
+        if not g and upper(i) and (tight(i) or (dotted(i) and contraction(low[i]))) and not owned(i) and (3 if tight(i) else 2) <= len(low[i]) <= 10 and low[i] not in GREETINGS and not tokens[i][0].isupper() and low[i] not in TITLES and low[i] not in TAGS and lists.of(low[i])[3] < 8 and lists.of(low[i])[2] < 3 and lists.of(low[i])[1] < 2:
+            # a given name no list has, before a known surname
+            f = family(i + 1)
+            if f and max(lists.of(" ".join(low[i + 1 : i + 1 + f]))[1], lists.of(low[i + f])[1]) >= 2:
+                out.append(Span(a, end_of(i + f), 4, 16, (i, i + f)))
+                i += f + 1
+                continue
         f = family(i) if not g or lists.of(low[i])[1] > lists.of(low[i])[0] else 0
         if f:
             last = i + f - 1
@@ -217,7 +244,7 @@ def propose(text: str, lists: Lists) -> list[Span]:
         if s.kind == 4:
             k, e = s.words
             before = low[k - 1] if k and "\n" not in text[tokens[k - 1][2] : tokens[k][1]] else ""
-            after = low[e + 1] if e + 1 < n and "\n" not in text[tokens[e][2] : tokens[e + 1][1]][:3] else ""
+            after = low[e + 1] if tight(e) else ""
             best = [lists.of(v) for v in low[k : e + 1]]
             whole = lists.of(" ".join(low[k : e + 1]))
             s.words = (before, after, max(x[0] for x in best), max(max(x[1] for x in best), whole[1]), max(x[2] for x in best), e - k + 1)
@@ -274,6 +301,8 @@ def seed(text: str, s: Span, x: list[float]) -> int | None:
         return 1 if g >= 5 and f >= 2 else None
     if s.form == 15:
         return 1
+    if s.form == 16:
+        return 1 if f >= 4 else None
     if s.form == 13:
         return (1 if f >= 2 else None) if x[8] else 0
     return 1 if g >= 5 and x[16] and count == 1 and (x[19] or before in ("dear", "for", "of", "was", "were", "think", "regret", "registre", "to", "before", "signed")) else None
