@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stemma.operators import hierarchy, nearby
-from stemma.plans import tables
+from stemma.plans import catalogue, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +40,7 @@ def p6_regions(spark: SparkSession, folder: str) -> DataFrame:
     return nearby.regions_of(tables.read(spark, folder, "places"), cells)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p6_found, p6_regions)}
+QUERIES: dict[str, Query] = {**catalogue.QUERIES, **{f.__name__: f for f in (p5_found, p5_paths, p5_descendants, p6_found, p6_regions)}}
 
 CURRENT = """
 ind AS (SELECT * FROM individuals QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, ord DESC) = 1),
@@ -77,3 +77,5 @@ WHERE 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(b.latitude - a.latitude
     "p6_regions": """SELECT id, CAST(CAST(floor(latitude / 10) + 9 AS INTEGER) AS VARCHAR) || '/' || CAST(CAST(floor(longitude / 10) + 18 AS INTEGER) AS VARCHAR) AS region_id FROM places
 WHERE latitude >= -90 AND latitude < 90 AND longitude >= -180 AND longitude < 180 AND NOT (latitude = 0 AND longitude = 0)""",
 }
+
+ORACLE |= catalogue.ORACLE
