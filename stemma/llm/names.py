@@ -289,7 +289,7 @@ def same_person_pairs(persons_: DataFrame, name_forms: DataFrame, accept: float
     banded = work.select("id", "given", "surname", "year", "others", F.xxhash64("location").alias("location")).mapInArrow(band, "key bigint, id string, location bigint")
     left = banded.select("key", "location", F.col("id").alias("id_a"))
     right = banded.select("key", "location", F.col("id").alias("id_b"))
-    met = left.join(right, ["key", "location"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    met = ws.save(left.join(right, ["key", "location"]).where("id_a < id_b").select("id_a", "id_b").distinct(), "met")
     one = people.select(F.col("id").alias("id_a"), F.col("given").alias("ga"), F.col("surname").alias("sa"), F.col("sex").alias("xa"), F.col("others").alias("oa"))
     two = people.select(F.col("id").alias("id_b"), F.col("given").alias("gb"), F.col("surname").alias("sb"), F.col("sex").alias("xb"), F.col("others").alias("ob"))
     apart = F.col("xa").isin("M", "F") & F.col("xb").isin("M", "F") & (F.col("xa") != F.col("xb"))
@@ -311,14 +311,16 @@ def stars(ws: Workspace, links: DataFrame) -> DataFrame:
     """Star clustering: the link-richest spelling of a neighbourhood is a centre, others join their best centre;
     all members of a star are one person, and accepted links stand by themselves too."""
     ends = links.select("id_a", "id_b", "score").unionByName(links.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "score"))
+    ends = ws.save(ends, "ends")
     degree = ends.groupBy("id_a").agg(F.count("*").alias("n"))
     strength = degree.select(F.col("id_a").alias("id_b"), F.col("n").alias("m"))
     near = ends.join(degree, "id_a").join(strength, "id_b")
     # a spelling is a centre if no neighbour is richer in links (ties: the smaller id)
     top = near.groupBy("id_a").agg(F.max(F.struct("m", F.expr("-xxhash64(id_b)").alias("t"))).alias("best"), F.first("n").alias("n"))
     centre = top.where((F.col("n") > F.col("best.m")) | ((F.col("n") == F.col("best.m")) & (F.expr("-xxhash64(id_a)") > F.col("best.t")))).select(F.col("id_a").alias("centre"))
+    centre = ws.save(centre, "centre")
     joins = ends.join(centre, ends.id_b == centre.centre).groupBy("id_a").agg(F.max_by("centre", F.struct("score", "centre")).alias("centre")).withColumnRenamed("id_a", "id")
-    star = joins.unionByName(centre.select(F.col("centre").alias("id"), "centre"))
+    star = ws.save(joins.unionByName(centre.select(F.col("centre").alias("id"), "centre")), "star")
     x = star.select("centre", F.col("id").alias("id_a"))
     y = star.select("centre", F.col("id").alias("id_b"))
     return x.join(y, "centre").where("id_a < id_b").select("id_a", "id_b").unionByName(links.select("id_a", "id_b")).distinct()

@@ -29,14 +29,18 @@ from stemma.plans.workspace import Workspace, cores, spread
 
 BUCKETS = 1 << 18
 #: Texts one n-gram should be expected to hold. More texts mean fewer n-grams to ship and more pairs to look at.
-BLOCK_TEXTS = 2000.0
+BLOCK_TEXTS = 1200.0
+#: Blocks up to this many rows are multiplied together.
+SMALL = 48
 #: Bits of a filed row that hold the text's size; larger sizes are not used to discard.
 SIZE_MASK = 0xFFF
 
 
 def words(text: Column) -> Column:
     """The longest runs of ASCII letters and digits, lower-cased; null for a null text."""
-    return F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), 1), F.lower)
+    # in lower case after the cut: other letters may have an ASCII lower case
+    runs = F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), 1)
+    return F.when(F.size(runs) > 0, F.split(F.lower(F.array_join(runs, " ")), " ")).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def _columns(batch_words: list[str]) -> list[np.ndarray]:
@@ -92,7 +96,7 @@ def overlapping(records: DataFrame, share: float = 0.8, least: int = 20, id_col:
     spark = records.sparkSession
     ws = Workspace(spark, "overlap")
     w = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("record"), words(F.col(text_col)).alias("w")).where(F.size("w") >= least)
-    bags = w.select("record", F.array_join(F.array_sort("w"), " ").alias("bag"))
+    bags = w.select("record", F.array_join(F.sort_array("w"), " ").alias("bag"))
     # equal bags of words are one text, named by a 64-bit hash
     bags = ws.save(bags.select("record", F.xxhash64("bag").alias("no"), "bag"), "bags")
     work = spread(bags.select("no", "bag"), cores(spark))
@@ -153,7 +157,15 @@ def overlapping(records: DataFrame, share: float = 0.8, least: int = 20, id_col:
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
         last = np.append(first[1:], len(key))
         left, right = [], []
-        for a, b in zip(first[last - first > 1], last[last - first > 1]):
+        many = last - first
+        for m in range(2, SMALL + 1):
+            # all blocks of one small size at a time
+            starts = first[many == m]
+            for s in range(0, len(starts), max(1, 2_000_000 // (m * m))):
+                i, j = small_pairs(starts[s : s + max(1, 2_000_000 // (m * m))], m, one, two, shared)
+                left.append(no[i])
+                right.append(no[j])
+        for a, b in zip(first[many > SMALL], last[many > SMALL]):
             for i, j in block_pairs(one[a:b], two[a:b], shared):
                 left.append(no[a + i])
                 right.append(no[a + j])
@@ -198,6 +210,18 @@ def sketch(columns: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return np.bitwise_xor.reduce(one[low], initial=np.uint64(0)), np.bitwise_xor.reduce(one[~low], initial=np.uint64(0))
 
 
+def small_pairs(starts: np.ndarray, m: int, one: np.ndarray, two: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """As block_pairs, for blocks of m rows each that begin at starts."""
+    i, j = np.triu_indices(m, 1)
+    a, b = (starts[:, None] + i[None, :]).ravel(), (starts[:, None] + j[None, :]).ravel()
+    mask = np.uint64(SIZE_MASK)
+    na, nb = (two[a] & mask).astype(np.int64), (two[b] & mask).astype(np.int64)
+    need = np.ceil(np.maximum(na, nb) * share - 1e-9).astype(np.int64)
+    differ = np.bitwise_count(one[a] ^ one[b]).astype(np.int64) + np.bitwise_count((two[a] ^ two[b]) & ~mask)
+    ok = ((differ <= na + nb - 2 * need) & (np.minimum(na, nb) >= need)) | (na == SIZE_MASK) | (nb == SIZE_MASK)
+    return a[ok], b[ok]
+
+
 def block_pairs(one: np.ndarray, two: np.ndarray, share: float, rows: int = 2048):
     """(i, j) of a block's rows that neither their sizes nor their sketches rule out, i < j, tile by tile."""
     size = (two & np.uint64(SIZE_MASK)).astype(np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from stemma.plans.workspace import Workspace, cores, spread
 
 SAMPLE_ROWS = 12_000
-LIST_ROWS = 1000
+LIST_ROWS = 600
 CELL_ROWS = 12_000
 PROBES = 8
 #: A list is only scanned if its centre's cosine is within this of the nearest centre's.
@@ -136,8 +136,24 @@ def scan(x: np.ndarray, own_list: np.ndarray, q: np.ndarray, probes: np.ndarray,
             rows = rows_of[int(l)]
             for s2 in range(s, e, 1024):
                 qs = asked[s2 : min(e, s2 + 1024)]
+                # without k neighbours yet there is nothing to test against: the list is scanned whole
+                new = np.isinf(best.d[qs, -1])
+                fresh, qs = qs[new], qs[~new]
+                blocks_of = columns[int(l)]
+                if len(fresh):
+                    d = qn[fresh].sum(1)[:, None] + xn[rows].sum(1)[None, :]
+                    for b, c in enumerate(col):
+                        d -= 2 * (q[fresh][:, c] @ blocks_of[b])
+                    d[self_row[fresh][:, None] == rows[None, :]] = np.inf
+                    most = min(k, len(rows))
+                    top = np.argpartition(d, most - 1, axis=1)[:, :most]
+                    far = np.take_along_axis(d, top, 1)
+                    ok = np.isfinite(far)
+                    best.offer(np.repeat(fresh, most)[ok.ravel()], far[ok], rows[top[ok]])
+                if not len(qs):
+                    continue
                 limit = best.d[qs, -1]
-                d = qn[qs, :1] + xn[rows, 0][None, :] - 2 * (q[qs][:, col[0]] @ columns[int(l)][0])
+                d = qn[qs, :1] + xn[rows, 0][None, :] - 2 * (q[qs][:, col[0]] @ blocks_of[0])
                 ratio = ends[0] / dim * (1 + epsilon / np.sqrt(ends[0])) ** 2 if len(ends) > 1 else 1.0
                 qi, xi = np.nonzero(d <= (limit * ratio)[:, None])
                 partial = d[qi, xi]
@@ -145,7 +161,7 @@ def scan(x: np.ndarray, own_list: np.ndarray, q: np.ndarray, probes: np.ndarray,
                     dots = np.empty(len(qi), np.float32)
                     if len(qi) * 4 > d.size:
                         # few were abandoned: a product of the whole block is cheaper than picking
-                        dots = (q[qs][:, col[b]] @ columns[int(l)][b])[qi, xi]
+                        dots = (q[qs][:, col[b]] @ blocks_of[b])[qi, xi]
                     else:
                         for t in range(0, len(qi), 65536):
                             u = slice(t, t + 65536)
