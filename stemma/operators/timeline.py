@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.operators.lookup import ids_of
 from stemma.plans.model import Tree
 
-KEY = [F.coalesce("year", F.lit(9999)).alias("sort_year"), F.coalesce("date", F.lit("")).alias("sort_date")]
+
+
+def sort_key() -> list[Column]:
+    return [F.coalesce("year", F.lit(9999)).alias("sort_year"), F.coalesce("date", F.lit("")).alias("sort_date")]
 
 
 def person(tree: Tree, id_: str) -> DataFrame:
@@ -17,7 +20,7 @@ def person(tree: Tree, id_: str) -> DataFrame:
 
 def everyone(tree: Tree) -> DataFrame:
     """The sort key beside each event, so that any person's timeline is a range of the table."""
-    return tree.events.select("individual_id", "event_ord", "type", "date", "year", "place", *KEY)
+    return tree.events.select("individual_id", "event_ord", "type", "date", "year", "place", *sort_key())
 
 
 def families(tree: Tree) -> DataFrame:

@@ -12,7 +12,7 @@ from stemma.operators import associates, graph, kinship, lookup, places, search,
 from stemma.operators.nearby import great_circle_km
 from stemma.plans.model import Tree
 
-SEED, FAMILY, ASKED = "@I7@", "@F7@", ["I7", "@I12", "@I99@", "@I7@", "nobody"]
+SEED, ELDER, OTHER, ASKED = "@I118@", "@I22@", "@I82@", ["I7", "@I12", "@I99@", "@I7@", "nobody"]
 POINT = (-20.44, -22.65)
 VECTOR = [((i * 37) % 11 - 5) / 10 for i in range(128)]
 
@@ -469,10 +469,10 @@ oracle("ancestors_terminal", "SELECT ancestor_id, min(path) AS path, min_by(gene
 
 @query
 def descendants_long(t: Tree) -> DataFrame:
-    return graph.descendants(t, SEED, 6)
+    return graph.descendants(t, ELDER, 6)
 
 
-oracle("descendants_long", "SELECT DISTINCT generation + 1 AS generation, parent_id, child_id FROM up JOIN ce ON ce.parent_id = up.relative_id", up_to(5, f"WHERE id = '{SEED}'", DOWN))
+oracle("descendants_long", "SELECT DISTINCT generation + 1 AS generation, parent_id, child_id FROM up JOIN ce ON ce.parent_id = up.relative_id", up_to(5, f"WHERE id = '{ELDER}'", DOWN))
 
 
 @query
@@ -485,19 +485,19 @@ oracle("ancestor_min_gen", "SELECT root_id, relative_id, min(generation) AS gene
 
 @query
 def common_ancestors(t: Tree) -> DataFrame:
-    return graph.common_ancestors(t, SEED, "@I57@")
+    return graph.common_ancestors(t, SEED, OTHER)
 
 
-oracle("common_ancestors", f"""SELECT a.relative_id AS ancestor_id, min(a.generation) AS generation1, min(b.generation) AS generation2 FROM up a JOIN up b ON a.relative_id = b.relative_id AND a.root_id = '{SEED}' AND b.root_id = '@I57@'
-WHERE a.generation > 0 AND b.generation > 0 GROUP BY 1""", up_to(10, f"WHERE id IN ('{SEED}', '@I57@')"))
+oracle("common_ancestors", f"""SELECT a.relative_id AS ancestor_id, min(a.generation) AS generation1, min(b.generation) AS generation2 FROM up a JOIN up b ON a.relative_id = b.relative_id AND a.root_id = '{SEED}' AND b.root_id = '{OTHER}'
+WHERE a.generation > 0 AND b.generation > 0 GROUP BY 1""", up_to(10, f"WHERE id IN ('{SEED}', '{OTHER}')"))
 
 
 @query
 def traverse_children(t: Tree) -> DataFrame:
-    return graph.traverse(t, SEED, "children", 4)
+    return graph.traverse(t, ELDER, "children", 4)
 
 
-oracle("traverse_children", f"SELECT relative_id AS id, min(generation) AS level FROM up WHERE relative_id <> '{SEED}' GROUP BY 1", up_to(4, f"WHERE id = '{SEED}'", DOWN))
+oracle("traverse_children", f"SELECT relative_id AS id, min(generation) AS level FROM up WHERE relative_id <> '{ELDER}' GROUP BY 1", up_to(4, f"WHERE id = '{ELDER}'", DOWN))
 
 
 @query
@@ -714,10 +714,10 @@ def associates_exact_place(t: Tree) -> DataFrame:
     return associates.find(t, SEED, most=None)
 
 
-oracle("associates_exact_place", f"""SELECT id, name, least(1000, points + 50 * (shared_places - 1) + 6 * least(50, coalesce(overlap_years, 0))) / 1000.0::DOUBLE AS strength, overlaps, shared_places, overlap_years, false AS is_relative, ord FROM (
-SELECT p.id, p.name, p.ord, g.points, g.overlaps, g.shared_places, CASE WHEN coalesce(o.birth_year, o.death_year) IS NOT NULL AND coalesce(p.birth_year, p.death_year) IS NOT NULL THEN
+oracle("associates_exact_place", f"""SELECT id, name, least(1000, points + 50 * (shared_places - 1) + 6 * least(50, coalesce(overlap_years, 0))) / 1000.0::DOUBLE AS strength, "overlaps", shared_places, overlap_years, false AS is_relative, ord FROM (
+SELECT p.id, p.name, p.ord, g.points, g."overlaps", g.shared_places, CASE WHEN coalesce(o.birth_year, o.death_year) IS NOT NULL AND coalesce(p.birth_year, p.death_year) IS NOT NULL THEN
 greatest(0, least(coalesce(o.death_year, o.birth_year + 80), coalesce(p.death_year, p.birth_year + 80)) - greatest(coalesce(o.birth_year, o.death_year - 80), coalesce(p.birth_year, p.death_year - 80))) END AS overlap_years
-FROM (SELECT c.individual_id, sum(CASE WHEN c.year IS NULL OR m.year IS NULL THEN 30 WHEN c.year = m.year THEN 150 WHEN abs(c.year - m.year) <= 5 THEN 80 ELSE 20 END)::BIGINT AS points, count(*) AS overlaps, count(DISTINCT m.place_norm) AS shared_places
+FROM (SELECT c.individual_id, sum(CASE WHEN c.year IS NULL OR m.year IS NULL THEN 30 WHEN c.year = m.year THEN 150 WHEN abs(c.year - m.year) <= 5 THEN 80 ELSE 20 END)::BIGINT AS points, count(*) AS "overlaps", count(DISTINCT m.place_norm) AS shared_places
 FROM ip c JOIN ip m ON m.place_norm = c.place_norm AND m.individual_id = '{SEED}' WHERE c.individual_id <> '{SEED}' GROUP BY 1) g JOIN p ON p.id = g.individual_id, (SELECT birth_year, death_year FROM p WHERE id = '{SEED}') o WHERE p.id NOT IN (SELECT id FROM rel))""", RELATIVES)
 
 
@@ -734,3 +734,43 @@ def lifespan_overlap(t: Tree) -> DataFrame:
 oracle("lifespan_overlap", """SELECT family_id, CASE WHEN coalesce(a.birth_year, a.death_year) IS NOT NULL AND coalesce(b.birth_year, b.death_year) IS NOT NULL THEN
 greatest(0, least(coalesce(a.death_year, a.birth_year + 80), coalesce(b.death_year, b.birth_year + 80)) - greatest(coalesce(a.birth_year, a.death_year - 80), coalesce(b.birth_year, b.death_year - 80))) END AS overlap
 FROM f JOIN p a ON a.id = husband_id JOIN p b ON b.id = wife_id""")
+
+# --- reading lineage text ------------------------------------------------------------------------------------------
+
+
+def _text(t: Tree):
+    """The tree's people and families written as lineage text and read again."""
+    from stemma.plans.workspace import Workspace
+    from stemma.sources.lineage_text import LineageText, render
+
+    path = Workspace(t.spark, "lineage").path("text")
+    render(t.individuals, t.families).write.text(path)
+    return LineageText(t.spark, path)
+
+
+@query
+def ingest_individuals(t: Tree) -> DataFrame:
+    i = _text(t).individuals()
+    return i.select("id", "given_name", "surname", "sex", "birth_date", "birth_place", "death_date", "death_place", "family_as_child", F.array_join("families_as_spouse", " ").alias("fams"), F.size("notes").alias("n_notes"), F.md5(F.array_join("notes", "|")).alias("notes_md5"))
+
+
+oracle("ingest_individuals", """SELECT id, trim(given_name) AS given_name, trim(surname) AS surname, sex, birth_date, birth_place, death_date, death_place, famc AS family_as_child, array_to_string(fams, ' ') AS fams,
+CAST(coalesce(len(list_filter(notes, lambda x: x <> '')), 0) AS INTEGER) AS n_notes, md5(coalesce(array_to_string(list_transform(list_filter(notes, lambda x: x <> ''), lambda x: replace(x, chr(13) || chr(10), chr(10))), '|'), '')) AS notes_md5 FROM p""")
+
+
+@query
+def ingest_families(t: Tree) -> DataFrame:
+    return _text(t).families().select("id", "husband_id", "wife_id", F.array_join("children_ids", " ").alias("children"), "marriage_date", "marriage_place")
+
+
+oracle("ingest_families", "SELECT family_id AS id, husband_id, wife_id, array_to_string(list_filter(children_ids, lambda x: x IS NOT NULL), ' ') AS children, marriage_date, marriage_place FROM f")
+
+
+@query
+def ingest_events(t: Tree) -> DataFrame:
+    return _text(t).events().select("individual_id", "event_ord", "type", "date", "place")
+
+
+oracle("ingest_events", """SELECT individual_id, CAST(row_number() OVER (PARTITION BY individual_id ORDER BY o) - 1 AS INTEGER) AS event_ord, type, date, place FROM (
+SELECT id AS individual_id, 0 AS o, 'BIRT' AS type, birth_date AS date, birth_place AS place FROM p WHERE birth_date IS NOT NULL OR birth_place IS NOT NULL
+UNION ALL SELECT id, 1, 'DEAT', death_date, death_place FROM p WHERE death_date IS NOT NULL OR death_place IS NOT NULL)""")
