@@ -130,7 +130,7 @@ def test_invariants(tree):
 
 def test_associates(tree):
     rows = {r.id: r for r in associates.find(tree, "a", most=None).collect()}
-    assert set(rows) == {"@h@", "@q@", "@x@", "@w1@", "@w2@"} - {r.id for r in graph.relatives(tree, "a").collect()}
+    assert set(rows) == {"@d@", "@h@", "@q@", "@x@", "@w1@", "@w2@"} - {r.id for r in graph.relatives(tree, "a").collect()}
     alike = associates.find(tree, "a", most=None, fuzzy=True, exclude_relatives=False).collect()
     assert {r.id for r in alike} >= set(rows) and any(r.is_relative for r in alike)
 
