@@ -109,7 +109,7 @@ def word_lists(documents: DataFrame, individuals: DataFrame, name_forms: DataFra
     forms = forms.unionByName(part(documents.sparkSession.createDataFrame(more, "more string"), "more", 0))
     rows = rows.unionByName(forms.withColumn("w", F.explode(F.array_repeat("w", 6))))
     counted = rows.mapInArrow(tally, "kind int, bucket bigint, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    plain = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![\\\\p{L}'])(\\\\p{Ll}{3,})"), 1))).alias("w"))
+    plain = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}'])(\p{Ll}{3,})"), 1))).alias("w"))
     plain = plain.groupBy(F.lit(3).alias("kind"), F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     counted = counted.unionByName(plain).where("n > 1").toPandas()
     tables = np.zeros((4, BUCKETS), np.uint8)
