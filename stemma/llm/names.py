@@ -304,7 +304,10 @@ def same_person_pairs(persons_: DataFrame, name_forms: DataFrame, accept: float
 
     scored = both.select("id_a", "id_b", "ga", "sa", "oa", "gb", "sb", "ob").mapInArrow(verify, "id_a string, id_b string, score double")
     links = ws.save(scored.where(F.col("score") >= accept), "links")
-    return stars(ws, links)
+    # members of a star who never met are held to the rule on the sexes too
+    joined = stars(ws, links)
+    sex = lambda n: people.select(F.col("id").alias(f"id_{n}"), F.col("sex").alias(f"x{n}"))
+    return joined.join(sex("a"), "id_a").join(sex("b"), "id_b").where(~F.coalesce(apart, F.lit(False))).select("id_a", "id_b")
 
 
 def stars(ws: Workspace, links: DataFrame) -> DataFrame:
