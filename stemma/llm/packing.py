@@ -2,18 +2,24 @@
 
 An item of size s belongs to class k = floor(capacity / s): k items of the class fit one container whatever
 they are. Every block of a class fills its containers with exactly k items on its own, so nothing is
-compared across workers and only the last container of a block can be short. Containers of the large
-classes have room to spare; it is used by a second harmonic step: the room is itself cut into reciprocal
-classes of the capacity, and small items fill it by count.
+compared across workers, and a full container of class k is used to k / (k + 1) at least. That bound is poor
+for few large items, so containers of classes below FINE, and the last one of each block, which is short, are
+not kept: their items go to finishing blocks of bounded size, each packed by itself, largest item first into the
+container with the least room that takes it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Items one block of a class should hold; a block's last container may be short, so fewer blocks waste less.
 BLOCK_ITEMS = 50_000
+#: Least items a container must take by its class to be filled by count.
+FINE = 8
 
 
 def pieces(items: DataFrame, limits: DataFrame) -> DataFrame:
@@ -44,7 +50,41 @@ def pack(items: DataFrame, limits: DataFrame, block_items: int = BLOCK_ITEMS) ->
     spread = parts.join(sizes, (F.col("limit_id") == F.col("l_")) & F.col("group").eqNullSafe(F.col("g_")) & (F.col("k") == F.col("k_"))).drop("l_", "g_", "k_")
     blocked = spread.withColumn("block", F.pmod(F.xxhash64("item", "part"), F.col("blocks")).cast("int"))
     # in order of size, so that items sharing a container are alike and the class's slack is what remains
-    rank = F.row_number().over(Window.partitionBy(*keys, "block").orderBy("size", "item", "part"))
-    placed = blocked.withColumn("nth", F.floor((rank - 1) / F.col("k")).cast("int"))
-    name = F.concat_ws("/", F.col("limit_id").cast("string"), F.coalesce(F.col("group").cast("string"), F.lit("")), F.col("k").cast("string"), F.col("block").cast("string"), F.col("nth").cast("string"))
-    return placed.select("limit_id", "capacity", "group", name.alias("container"), "item", "part", "size")
+    w = Window.partitionBy(*keys, "block")
+    rank = F.row_number().over(w.orderBy("size", "item", "part"))
+    placed = blocked.withColumn("nth", F.floor((rank - 1) / F.col("k")).cast("int")).withColumn("whole", (F.col("k") >= FINE) & ((F.col("nth") + 1) * F.col("k") <= F.count("*").over(w)))
+    label = lambda *cols: F.concat_ws("/", F.col("limit_id").cast("string"), F.xxhash64("group").cast("string"), *cols)
+    out = ["limit_id", "capacity", "group", "container", "item", "part", "size"]
+    full = placed.where("whole").withColumn("container", label(F.col("k").cast("string"), F.col("block").cast("string"), F.col("nth").cast("string"))).select(*out)
+    rest = placed.where("not whole").select("limit_id", "capacity", "group", "item", "part", "size")
+    blocks = rest.groupBy("limit_id", "group").agg(F.ceil(F.count("*") / F.lit(block_items)).cast("int").alias("blocks")).select(F.col("limit_id").alias("l_"), F.col("group").alias("g_"), "blocks")
+    rest = rest.join(blocks, (F.col("limit_id") == F.col("l_")) & F.col("group").eqNullSafe(F.col("g_"))).withColumn("block", F.pmod(F.xxhash64("item", "part", F.lit(1)), F.col("blocks")).cast("int")).drop("l_", "g_", "blocks")
+    rest = rest.withColumn("prefix", label(F.lit("f"), F.col("block").cast("string")))
+
+    def finish(table):
+        size, cap = table.column("size").to_numpy(), int(table.column("capacity")[0].as_py())
+        prefix = table.column("prefix")[0].as_py()
+        items = table.column("item").to_pandas().to_numpy()
+        nth = np.empty(len(size), np.int64)
+        room: dict[int, list[int]] = {}
+        open_, made = 0, 0  # bits of open_: amounts of room that some container has
+        for n in np.lexsort((table.column("part").to_numpy(), items, -size)):
+            s = int(size[n])
+            fits = open_ >> s
+            if fits:
+                have = s + (fits & -fits).bit_length() - 1
+                at = room[have].pop()
+                if not room[have]:
+                    open_ ^= 1 << have
+            else:
+                at, have, made = made, cap, made + 1
+            nth[n] = at
+            if have > s:
+                room.setdefault(have - s, []).append(at)
+                open_ |= 1 << (have - s)
+        names = pa.array([f"{prefix}/{k}" for k in nth], pa.string())
+        return table.select(["limit_id", "capacity", "group"]).append_column("container", names).append_column("item", table.column("item")).append_column("part", table.column("part")).append_column("size", table.column("size"))
+
+    schema = StructType([StructField("container", StringType()) if c == "container" else rest.schema[c] for c in out])
+    done = rest.groupBy("prefix").applyInArrow(finish, schema)
+    return full.unionByName(done)
