@@ -29,7 +29,7 @@ from stemma.plans.workspace import Workspace, cores, spread
 
 BUCKETS = 1 << 18
 #: Texts one n-gram should be expected to hold. More texts mean fewer n-grams to ship and more pairs to look at.
-BLOCK_TEXTS = 1200.0
+BLOCK_TEXTS = 3000.0
 #: Blocks up to this many rows are multiplied together.
 SMALL = 48
 #: Bits of a filed row that hold the text's size; larger sizes are not used to discard.
@@ -105,11 +105,10 @@ def overlapping(records: DataFrame, share: float = 0.8, least: int = 20, id_col:
         total = np.zeros(BUCKETS, np.int64)
         rows, seen = 0, set()
         for batch in batches:
-            for no, c in zip(batch.column(0).to_pylist(), _columns(batch.column(1).to_pylist())):
-                if no not in seen:
-                    seen.add(no)
-                    rows += 1
-                    np.add.at(total, c % BUCKETS, 1)
+            _, cols = _fresh(batch, seen)
+            rows += len(cols)
+            if cols:
+                total += np.bincount(np.concatenate(cols) % BUCKETS, minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["bucket", "n"])
 
@@ -124,26 +123,24 @@ def overlapping(records: DataFrame, share: float = 0.8, least: int = 20, id_col:
     def file(batches):
         freq, seen = shipped.value, set()
         for batch in batches:
-            nos, sizes, s1, s2, keys = [], [], [], [], []
-            for no, c in zip(batch.column(0).to_pylist(), _columns(batch.column(1).to_pylist())):
-                if no in seen:
-                    continue
-                seen.add(no)
-                f = freq[c % BUCKETS]
-                order = np.lexsort((c, f))
-                c, f = c[order], f[order]
-                n = len(c)
-                keys.append(np.array(ngram_keys(c.tolist(), (f / total).tolist(), n - needed(n, share), total, block_texts), np.uint64))
-                nos.append(no)
-                sizes.append(len(keys[-1]))
-                one, two = sketch(c)
-                s1.append(one)
-                # the low bits of the second word hold the size, so that a filed row is three words beside its key
-                s2.append((two & ~np.uint64(SIZE_MASK)) | np.uint64(min(n, SIZE_MASK)))
-            times = np.array(sizes, np.int64)
-            col = lambda v, kind: pa.array(np.repeat(np.array(v, kind), times).view(np.int64))
-            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), col(nos, np.int64), col(s1, np.uint64), col(s2, np.uint64)], names=["key", "no", "s1", "s2"])
+            nos, cols = _fresh(batch, seen)
+            if not cols:
+                continue
+            sizes = np.array([len(c) for c in cols])
+            flat, doc = np.concatenate(cols), np.repeat(np.arange(len(cols)), sizes)
+            f = freq[flat % BUCKETS]
+            order = np.lexsort((flat, f, doc))
+            flat, f = flat[order], f[order]
+            ends = np.cumsum(sizes)
+            one, two = sketches(flat, ends - sizes)
+            # the low bits of the second word hold the size, so that a filed row is three words beside its key
+            two = (two & ~np.uint64(SIZE_MASK)) | np.minimum(sizes, SIZE_MASK).astype(np.uint64)
+            words_, rates = flat.tolist(), (f / total).tolist()
+            keys = [ngram_keys(words_[e - n : e], rates[e - n : e], n - needed(n, share), total, block_texts) for n, e in zip(sizes.tolist(), ends.tolist())]
+            times = np.array([len(k) for k in keys])
+            key = np.fromiter((x for k in keys for x in k), np.uint64, times.sum()).view(np.int64)
+            col = lambda v: pa.array(np.repeat(v, times).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), col(np.array(nos, np.int64)), col(one), col(two)], names=["key", "no", "s1", "s2"])
 
     filed = work.mapInArrow(file, "key bigint, no bigint, s1 bigint, s2 bigint")
     blocks = max(2 * cores(spark), total // 8000)
@@ -202,12 +199,23 @@ def needed(n: int, share: float) -> int:
     return math.ceil(share * n - 1e-9)
 
 
-def sketch(columns: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """128 parity bits of a row: two rows that differ in d columns differ in at most d bits."""
+def _fresh(batch, seen: set) -> tuple[list[int], list[np.ndarray]]:
+    """Numbers and columns of a batch's texts (no, bag) that this task has not met before."""
+    nos, bags = [], []
+    for no, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        if no not in seen:
+            seen.add(no)
+            nos.append(no)
+            bags.append(bag)
+    return nos, _columns(bags)
+
+
+def sketches(columns: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parity bits of each row: two rows that differ in d columns differ in at most d bits."""
     bit = (columns >> 20) & 127
-    one = np.uint64(1) << (bit & 63).astype(np.uint64)
+    one, zero = np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0)
     low = bit < 64
-    return np.bitwise_xor.reduce(one[low], initial=np.uint64(0)), np.bitwise_xor.reduce(one[~low], initial=np.uint64(0))
+    return np.bitwise_xor.reduceat(np.where(low, one, zero), starts), np.bitwise_xor.reduceat(np.where(low, zero, one), starts)
 
 
 def small_pairs(starts: np.ndarray, m: int, one: np.ndarray, two: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -222,25 +230,28 @@ def small_pairs(starts: np.ndarray, m: int, one: np.ndarray, two: np.ndarray, sh
     return a[ok], b[ok]
 
 
-def block_pairs(one: np.ndarray, two: np.ndarray, share: float, rows: int = 2048):
+def block_pairs(one: np.ndarray, two: np.ndarray, share: float, rows: int = 256, across: int = 8192):
     """(i, j) of a block's rows that neither their sizes nor their sketches rule out, i < j, tile by tile."""
     size = (two & np.uint64(SIZE_MASK)).astype(np.int64)
     need = np.ceil(size * share - 1e-9).astype(np.int64)
     # sizes that do not fit the field rule nothing out
     open_ = size == SIZE_MASK
     rest = two & ~np.uint64(SIZE_MASK)
+    # what a row may miss; the sum of two rows' is no less than the exact bound, which follows
+    may = np.where(open_, 127, np.minimum(127, size - need)).astype(np.uint8)
     for a in range(0, len(one), rows):
-        for b in range(a, len(one), rows):
-            p, q = slice(a, a + rows), slice(b, b + rows)
-            differ = np.bitwise_count(one[p][:, None] ^ one[q][None, :]) + np.bitwise_count(rest[p][:, None] ^ rest[q][None, :])
-            more = np.maximum(need[p][:, None], need[q][None, :])
-            both = size[p][:, None] + size[q][None, :]
-            ok = (differ <= both - 2 * more) & (np.minimum(size[p][:, None], size[q][None, :]) >= more)
-            if open_.any():
-                ok |= open_[p][:, None] | open_[q][None, :]
-            i, j = np.nonzero(np.triu(ok, 1) if a == b else ok)
-            if len(i):
-                yield a + i, b + j
+        p = slice(a, a + rows)
+        for b in range(a, len(one), across):
+            q = slice(b, b + across)
+            differ = np.bitwise_count(one[p][:, None] ^ one[q][None, :])
+            differ += np.bitwise_count(rest[p][:, None] ^ rest[q][None, :])
+            i, j = np.nonzero(differ <= may[p][:, None] + may[q][None, :])
+            d = differ[i, j].astype(np.int64)
+            i, j = i + a, j + b
+            more = np.maximum(need[i], need[j])
+            ok = (i < j) & (((d <= size[i] + size[j] - 2 * more) & (np.minimum(size[i], size[j]) >= more)) | open_[i] | open_[j])
+            if ok.any():
+                yield i[ok], j[ok]
 
 
 def _expand(members: DataFrame, linked: DataFrame) -> DataFrame:

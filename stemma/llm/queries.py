@@ -17,7 +17,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap.overlapping(overlap.family_records(tables.individuals(spark, folder), tables.citations(spark, folder)))
+    people = tables.current(tables.read(spark, folder, "individuals").select("id", "notes", "loaded_at", "ord"), "id")
+    cites = tables.current(tables.read(spark, folder, "citations").select("citation_id", "text", "loaded_at", "ord"), "citation_id")
+    return overlap.overlapping(overlap.family_records(people, cites))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
