@@ -374,16 +374,23 @@ class Finder:
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the items, in order, not overlapping."""
-        spans = propose(text, self.lists)
-        if not spans:
-            return []
-        score = self.trees.predict(np.array([features(text, s) for s in spans], float)) if self.trees else np.ones(len(spans))
-        good = sorted(((s.kind == 4, -(s.end - s.start), -p, s.start, s.end, s.kind) for s, p in zip(spans, score) if p >= self.least.get(s.kind, 0.5)))
-        taken: list[tuple[int, int, int]] = []
-        for _, _, _, a, b, kind in good:
-            if all(b <= x or a >= y for x, y, _ in taken):
-                taken.append((a, b, kind))
-        return [(a, b, KINDS[k]) for a, b, k in sorted(taken)]
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+        """As find, for many texts, whose proposals are scored together."""
+        spans = [propose(t, self.lists) if t else [] for t in texts]
+        x = [features(t, s) for t, many in zip(texts, spans) for s in many]
+        score = self.trees.predict(np.array(x, float)) if self.trees and x else np.ones(len(x))
+        out, at = [], 0
+        for many in spans:
+            good = sorted((s.kind == 4, s.start - s.end, -p, s.start, s.end, s.kind) for s, p in zip(many, score[at : at + len(many)].tolist()) if p >= self.least.get(s.kind, 0.5))
+            at += len(many)
+            taken: list[tuple[int, int, int]] = []
+            for _, _, _, a, b, kind in good:
+                if all(b <= x or a >= y for x, y, _ in taken):
+                    taken.append((a, b, kind))
+            out.append([(a, b, KINDS[k]) for a, b, k in sorted(taken)])
+        return out
 
 
 def train(texts: list[str], lists: Lists) -> Finder:
@@ -418,6 +425,18 @@ def finder(documents: DataFrame, individuals: DataFrame, name_forms: DataFrame,
     return train([r["t"] for r in rows], lists)
 
 
+def _in_parts(use: Finder, texts: list[str | None], chars: int = 2_000_000):
+    """Items of each text, some texts at a time, so that proposals of very long texts do not pile up."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size > chars:
+            yield from use.find_all(part)
+            part, size = [], 0
+    yield from use.find_all(part)
+
+
 def find_items(documents: DataFrame, found_by: Finder, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kind, surface): each distinct item of each document, exactly as in its text. Null and empty texts have none."""
     df = spread(documents.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_t")), cores(documents.sparkSession))
@@ -428,8 +447,9 @@ def find_items(documents: DataFrame, found_by: Finder, key: str = "doc_id", text
         use = Finder(Lists(tables), trees, least)
         for batch in batches:
             rows, kinds, surfaces = [], [], []
-            for n, t in enumerate(batch.column(1).to_pylist()):
-                for kind, surface in dict.fromkeys((k, t[a:b]) for a, b, k in use.find(t)):
+            texts = batch.column(1).to_pylist()
+            for n, (t, items) in enumerate(zip(texts, _in_parts(use, texts))):
+                for kind, surface in dict.fromkeys((k, t[a:b]) for a, b, k in items):
                     rows.append(n)
                     kinds.append(kind)
                     surfaces.append(surface)
@@ -449,9 +469,10 @@ def redact(documents: DataFrame, found_by: Finder, key: str = "doc_id", text: st
         use = Finder(Lists(tables), trees, least)
         for batch in batches:
             out = []
-            for t in batch.column(1).to_pylist():
+            texts = batch.column(1).to_pylist()
+            for t, items in zip(texts, _in_parts(use, texts)):
                 parts, at = [], 0
-                for a, b, kind in use.find(t) if t else ():
+                for a, b, kind in items:
                     parts += [t[at:a], f"[{kind.upper()}]"]
                     at = b
                 out.append(None if t is None else "".join(parts) + t[at:])
