@@ -293,7 +293,8 @@ def same_person_pairs(persons_: DataFrame, name_forms: DataFrame, accept: float
     one = people.select(F.col("id").alias("id_a"), F.col("given").alias("ga"), F.col("surname").alias("sa"), F.col("sex").alias("xa"), F.col("others").alias("oa"))
     two = people.select(F.col("id").alias("id_b"), F.col("given").alias("gb"), F.col("surname").alias("sb"), F.col("sex").alias("xb"), F.col("others").alias("ob"))
     apart = F.col("xa").isin("M", "F") & F.col("xb").isin("M", "F") & (F.col("xa") != F.col("xb"))
-    both = met.join(one, "id_a").join(two, "id_b").where(~F.coalesce(apart, F.lit(False)))
+    # people are many and wide: never a table to broadcast, however well it is compressed
+    both = met.join(one.hint("merge"), "id_a").join(two.hint("merge"), "id_b").where(~F.coalesce(apart, F.lit(False)))
 
     def verify(batches):
         forms = Forms(pairs)
@@ -307,7 +308,7 @@ def same_person_pairs(persons_: DataFrame, name_forms: DataFrame, accept: float
     # members of a star who never met are held to the rule on the sexes too
     joined = stars(ws, links)
     sex = lambda n: people.select(F.col("id").alias(f"id_{n}"), F.col("sex").alias(f"x{n}"))
-    return joined.join(sex("a"), "id_a").join(sex("b"), "id_b").where(~F.coalesce(apart, F.lit(False))).select("id_a", "id_b")
+    return joined.join(sex("a").hint("merge"), "id_a").join(sex("b").hint("merge"), "id_b").where(~F.coalesce(apart, F.lit(False))).select("id_a", "id_b")
 
 
 def stars(ws: Workspace, links: DataFrame) -> DataFrame:
