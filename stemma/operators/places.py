@@ -96,3 +96,10 @@ def distinct_places(tree: Tree) -> DataFrame:
     """(id, original, normalized, n_components): the reading of each stored spelling, from its text alone."""
     o = F.col("original")
     return tree.places.select("id", X.place_id(o).alias("computed_id"), X.normalize_place(o).alias("normalized"), F.size(X.place_components(o)).alias("n_components"), F.array_join(X.place_components(o), " | ").alias("components"))
+
+
+def match(a, b, threshold: float = 80):
+    """Whether two places are equal, alike by ratio, or one contains the other; null if either is null."""
+    from stemma.functions.similarity import ratio_at_least
+
+    return (a == b) | a.contains(b) | b.contains(a) | ratio_at_least(a, b, threshold)

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,7 +92,7 @@ def tree(spark, tmp_path_factory):
     spark.createDataFrame(e, "individual_id string, event_ord int, type string, date string, place string, description string, notes array<string>, loaded_at long, ord long").withColumn("loaded_at", F.timestamp_seconds("loaded_at")).write.parquet(f"{d}/person_events.parquet")
     spark.createDataFrame([(1, "a", 0, 0, "s1", "p", "text", None, 1, 1)], "citation_id long, individual_id string, event_ord int, cite_ord int, source_id string, page string, text string, url string, loaded_at long, ord long").withColumn("loaded_at", F.timestamp_seconds("loaded_at")).write.parquet(f"{d}/citations.parquet")
     spark.createDataFrame([("@s1@", "Title", "Author", 0)], "id string, title string, author string, ord long").write.parquet(f"{d}/sources.parquet")
-    spark.createDataFrame([("pl1", "Hill, Shire", "hill, shire", 10.0, 10.0, 0), ("pl2", "Dale", "dale", None, None, 1)], "id string, original string, normalized string, latitude double, longitude double, ord long").write.parquet(f"{d}/places.parquet")
+    spark.createDataFrame([(hashlib.md5(b"hill, shire").hexdigest()[:12], "Hill, Shire", "hill, shire", 10.0, 10.0, 0), (hashlib.md5(b"dale").hexdigest()[:12], "Dale", "dale", None, None, 1)], "id string, original string, normalized string, latitude double, longitude double, ord long").write.parquet(f"{d}/places.parquet")
     return Tree(spark, str(d))
 
 
@@ -153,3 +155,23 @@ def test_spatial_and_geocoding(spark, tree, tmp_path):
     assert caches.read_geocache(spark, "h1", f"{tmp_path}/cache").count() == 6 and caches.read_geocache(spark, "h2", f"{tmp_path}/cache").count() == 0
     (tmp_path / "f.bin").write_bytes(b"abc")
     assert caches.file_hash(spark, str(tmp_path / "f.bin")).first().sha256.startswith("ba7816bf")
+
+
+def test_api(spark, tree):
+    from stemma.api import Genealogy
+    from stemma.operators import places, vector
+
+    g = Genealogy(spark, tree.folder)
+    assert g.get_individual("a")["name"] == "Al Lee" and g.get_individual("zz") is None
+    assert [c["child_id"] for c in g.get_family("f0")["children"]] == ["@a@", "@b@"]
+    up = g.get_ancestors("c1", 3)
+    assert up["father"]["mother"]["name"] == "Gwen Lee" and up["mother"]["name"] == "Wyn Lee" and "father" not in up["mother"]
+    down = g.get_descendants("g1", 3)
+    assert [c["name"] for c in down["children"]] == ["Al Lee", "Bea Lee"] and down["children"][0]["children"][0]["children"][0]["name"] == "Ed Lee"
+    assert g.get_relationship("c1", "d") == "first cousin" and g.get_biography("a")["events"][0]["type"] == "OCCU"
+    assert {k for k in g.get_parents("c1")} == {"father", "mother"} and g.get_surname_origins("LEE")["primary_origin"] == "Hill, Shire"
+    assert g.search_nearby("Hill", 10)["people"][0]["distance"] == 0.0 and "error" in g.search_nearby("Nowhere")
+    texts = spark.createDataFrame([("1", "abc"), ("2", " "), ("3", None)], "id string, text string")
+    assert [r.embedding for r in vector.build(texts, lambda ts: [[3.0, 4.0] for _ in ts]).collect()] == [[pytest.approx(0.6), pytest.approx(0.8)]]
+    pair = spark.createDataFrame([("new york", "new yrok", True), ("york", "new york", True), ("paris", "new york", False)], "a string, b string, e boolean")
+    assert pair.where(places.match(F.col("a"), F.col("b")) != F.col("e")).count() == 0
