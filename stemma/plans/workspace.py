@@ -21,6 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def home(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/stemma/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables this application saved; results that still read them are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
     """A folder of its own for each run of an operator.
 
@@ -30,7 +41,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/stemma/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{home(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
