@@ -270,6 +270,8 @@ def agree(a: dict, b: dict) -> float | None:
     extra = 1 if close else 0
     cost = 0.0
     if a["name"] != b["name"]:
+        if established(a["name_rows"], b["name_rows"], 10):
+            return None
         short = min(len(a["name"]), len(b["name"]))
         most = (0 if short < 3 else 1 if short < 6 else 2) + (extra if short > 4 else 0)
         n = edits(a["name"], b["name"], most)
@@ -295,6 +297,8 @@ def agree(a: dict, b: dict) -> float | None:
         n = same_town(a["town"], b["town"], extra)
         if n is None:
             return None
+        if n and not close and established(a["town_rows"], b["town_rows"], 20):
+            return None
         # two edits need the county to agree, or the coordinates
         if n >= 2 and not close and not (a["county"] and a["county"] == b["county"]):
             return None
@@ -303,6 +307,11 @@ def agree(a: dict, b: dict) -> float | None:
     return 10.0 - cost + 0.5 * known + (1.0 if close else 0.0)
 
 
+def established(m: int, n: int, times: int) -> bool:
+    """Whether two spellings are both too frequent for one to be a typo of the other."""
+    return min(m, n) >= 4 and min(m, n) * times >= max(m, n)
+
+
 def _km(a: dict, b: dict) -> float | None:
     if a["lat"] is None or b["lat"] is None or a["lat"] != a["lat"] or b["lat"] != b["lat"]:
         return None
@@ -331,7 +340,7 @@ def keys(r: dict) -> list[str]:
     ]
 
 
-FORM = "form string, kind string, number string, name string, type string, town string, county string, regions string, lat double, lon double, rows bigint"
+FORM = "form string, kind string, number string, name string, type string, town string, county string, regions string, lat double, lon double, rows bigint, name_rows bigint, town_rows bigint"
 
 
 def locations(places: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -384,6 +393,10 @@ def locations(places: DataFrame, window: int = WINDOW) -> DataFrame:
     named = ("kind", "number", "name", "type", "town", "county", "regions")
     read = ws.save(read.withColumn("form", F.md5(F.concat_ws("|", *named, F.when((F.col("town") == "") | (F.col("county") == ""), F.concat(F.round("lat", 0), F.lit("/"), F.round("lon", 0)))))), "read")
     forms = read.groupBy("form", *named).agg(F.expr("percentile_approx(lat, 0.5)").alias("lat"), F.expr("percentile_approx(lon, 0.5)").alias("lon"), F.count("*").alias("rows"))
+    forms = ws.save(forms, "counted")
+    by_name = forms.groupBy("name").agg(F.sum("rows").alias("name_rows"))
+    by_town = forms.groupBy("town").agg(F.sum("rows").alias("town_rows"))
+    forms = forms.join(by_name, "name").join(by_town, "town")
     forms = ws.save(forms.select(*[c.split()[0] for c in FORM.split(", ")]), "forms")
 
     def passes(batches):
