@@ -99,7 +99,8 @@ def overlapping(records: DataFrame, share: float = 0.8, least: int = 20, id_col:
     bags = w.select("record", F.array_join(F.sort_array("w"), " ").alias("bag"))
     # equal bags of words are one text, named by a 64-bit hash
     bags = ws.save(bags.select("record", F.xxhash64("bag").alias("no"), "bag"), "bags")
-    work = spread(bags.select("no", "bag"), cores(spark))
+    # half the cores will do: moving the texts again costs more than an idle core
+    work = spread(bags.select("no", "bag"), max(2, cores(spark) // 2))
 
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
