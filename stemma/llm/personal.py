@@ -27,6 +27,7 @@ TREES, DEPTH, RATE = 40, 3, 0.3
 
 S = r"[^\S\r\n]"
 EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+\-]*{S}?(?:@|\(at\)|\[at\]|\{{at\}}){S}?[A-Za-z0-9][\w\-]*(?:(?:\.|{S}?(?:\[dot\]|\(dot\)|\{{dot\}}){S}?)[A-Za-z][\w\-]*)+", re.I)
+AT = re.compile(r"[(\[{]at[)\]}]", re.I)
 PHONE = re.compile(rf"(?<![\w.+/\-])(?:\+\d{{1,3}}[\s.\-]?(?:\(0\){S}?)?(?:\(?\d{{2,5}}\)?[  .\-]?)(?:\d{{2,5}}[  .\-]?){{0,3}}\d{{2,4}}|\(?\d{{3}}\)?[  .\-]\d{{3}}[  .\-]\d{{4}}|0\d{{2,5}}[  ./\-]?\d{{3}}[  .\-]?\d{{3,4}}|\d{{3}}[\-.]\d{{4}})(?:,?{S}?(?:ext\.?|x){S}?\d{{1,5}})?(?![\w\-]|[./]\d)")
 NUMBER = re.compile(rf"(?<![\w@/.\-])(?:[A-Z]{{1,3}}(?:[  \-]?\d{{1,6}}){{1,4}}(?:[  \-]?[A-Z])?|\d{{3}}[  \-]\d{{2}}[  \-]\d{{4}}|\d{{6}}-\d{{4,5}}|\d(?:[  ]\d{{3}}){{2,}}|\d{{4}}-\d{{2}}(?:-\d{{2}})?)(?![\w\-/]|\.\d)")
 #: The ways in which identity numbers are written: groups of letters and digits.
@@ -45,6 +46,11 @@ STREET = re.compile(
     rf"|\b(?:Am|An der|Im|In der|Zum|Zur){S}+[A-ZÄÖÜ][\wäöüß]+{S}+\d{{1,4}}[a-z]?\b"
     rf"|\b\d{{1,4}}(?:{S}?(?:bis|ter|[a-z]))?,?{S}+(?:rue|avenue|chemin|place|boulevard|impasse|quai|allée|route|passage|cours){S}+(?:(?:de la|du|des|de|de l['’]|d['’]|l['’]){S}*)?[\w'’\-]+(?:{S}+[A-ZÀ-Þ][\w'’\-]+)?"
 )
+#: A text without any of these holds no street, so that the long pattern need not run.
+STREET_MARK = re.compile(
+    rf"{S}(?:{TYPES})\b|Box{S}|Postfach|B\.?P\.?{S}+\d|(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|ring|damm|graben|markt){S}+\d"
+    rf"|\d[a-z]?,?{S}+(?:bis{S}+|ter{S}+)?(?:rue|avenue|chemin|place|boulevard|impasse|quai|allée|route|passage|cours)\b|\b(?:Am|An der|Im|In der|Zum|Zur){S}+\S+{S}+\d"
+)
 WEB = re.compile(r"(?:https?://|www\.)\S+")
 TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+(?:['’\-][A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+)*")
 TITLES = {"mr", "mrs", "miss", "ms", "dr", "rev", "capt", "sir", "mme", "mlle", "m", "herr", "frau", "abbé", "l'abbé", "l’abbé", "widow", "frl", "lady", "prof", "sgt", "lt", "col", "maj", "pfarrer", "fräulein", "dame"}
@@ -76,6 +82,7 @@ class Lists:
     def __init__(self, tables: np.ndarray):
         self.tables = tables
         self.known: dict[str, tuple[int, int, int, int]] = {}
+        self.starts: dict[str, bool] = {}
 
     def of(self, word: str) -> tuple[int, int, int, int]:
         got = self.known.get(word)
@@ -86,6 +93,23 @@ class Lists:
             got = self.known[word] = tuple(int(v) for v in self.tables[:, b])
         return got
 
+    def start(self, token: str) -> bool:
+        """Whether a name can begin with the token; remembered, since most tokens of a text are a few common words."""
+        got = self.starts.get(token)
+        if got is None:
+            if len(self.starts) > 300_000:
+                self.starts.clear()
+            w = lowered(token)
+            g, f, p, c = self.of(w)
+            if len(w) == 1:
+                got = token.isupper()
+            elif w in PARTICLES or (g >= 3 and g > f):
+                got = True
+            else:
+                got = token[0].isupper() and w not in TITLES and (f >= 2 or (c < 8 and p < 3))
+            self.starts[token] = got
+        return got
+
 
 def word_lists(documents: DataFrame, individuals: DataFrame, name_forms: DataFrame, places: DataFrame, text: str = "text") -> Lists:
     """Counted over all rows, by kind and bucket: at most 4 * BUCKETS small rows come to the driver."""
@@ -117,6 +141,12 @@ def word_lists(documents: DataFrame, individuals: DataFrame, name_forms: DataFra
     return Lists(tables)
 
 
+@lru_cache(maxsize=200_000)
+def lowered(token: str) -> str:
+    w = token.lower().replace("’", "'")
+    return w[:-2] if w.endswith("'s") else w
+
+
 class Span:
     __slots__ = ("start", "end", "kind", "form", "words")
 
@@ -125,7 +155,7 @@ class Span:
 
 
 def propose(text: str, lists: Lists) -> list[Span]:
-    out = [Span(m.start(), m.end(), 0, 0) for m in EMAIL.finditer(text)] if "@" in text or "at" in text else []
+    out = [Span(m.start(), m.end(), 0, 0) for m in EMAIL.finditer(text)] if "@" in text or AT.search(text) else []
     shut = [(s.start, s.end) for s in out] + [(m.start(), m.end()) for m in WEB.finditer(text)]
     free = lambda a, b: all(b <= x or a >= y for x, y in shut)
     if any(c.isdigit() for c in text):
@@ -133,14 +163,13 @@ def propose(text: str, lists: Lists) -> list[Span]:
         out += [Span(m.start(), m.end(), 2, 2) for m in ID_NUMBER.finditer(text) if free(m.start(), m.end())]
         sure = [(s.start, s.end) for s in out if s.kind == 2]
         out += [Span(m.start(), m.end(), 2, 20) for m in NUMBER.finditer(text) if free(m.start(), m.end()) and all(m.end() <= x or m.start() >= y for x, y in sure)]
-        out += [Span(m.start(), m.end(), 3, 3) for m in STREET.finditer(text) if free(m.start(), m.end())]
+        if STREET_MARK.search(text):
+            out += [Span(m.start(), m.end(), 3, 3) for m in STREET.finditer(text) if free(m.start(), m.end())]
     streets = [(s.start, s.end) for s in out if s.kind == 3]
-    tokens = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text)]
+    tokens = [(m.group(), *m.span()) for m in TOKEN.finditer(text)]
     n, i = len(tokens), 0
-    low: list[str] = []
-    for t, a, b in tokens:
-        w = t.lower().replace("’", "'")
-        low.append(w[:-2] if w.endswith("'s") else w)
+    low = [lowered(t) for t, _, _ in tokens]
+    can_start = lists.start
     gap = lambda k: text[tokens[k][2] : tokens[k + 1][1]]
     tight = lambda k: k + 1 < n and bool(gap(k)) and not gap(k).strip("  ​\t  ﻿")
     dotted = lambda k: k + 1 < n and gap(k)[:1] == "." and not gap(k)[1:].strip("  ​\t")
@@ -165,9 +194,12 @@ def propose(text: str, lists: Lists) -> list[Span]:
             j += 1
         if j >= n or len(low[j]) < 3 or low[j] in TITLES:
             return 0
-        name = " ".join(low[k : j + 1])
-        known = max(lists.of(v)[1] if lists.of(v)[1] >= lists.of(v)[0] else 0 for v in (name, low[j]))
-        if known >= 2 or (k and not upper(j) and given(k - 1) and not upper(k - 1) and len(low[j]) >= 5 and lists.of(low[j])[3] < 8 and not lists.of(low[j])[2] >= 3) or (upper(j) and low[j] not in TAGS and not lists.of(low[j])[2] >= 3 and len(low[j]) >= 4):
+        g, f, p, _ = lists.of(low[j])
+        known = f if f >= g else 0
+        if j > k:
+            whole = lists.of(" ".join(low[k : j + 1]))
+            known = max(known, whole[1] if whole[1] >= whole[0] else 0)
+        if known >= 2 or (k and not upper(j) and given(k - 1) and not upper(k - 1) and len(low[j]) >= 5 and lists.of(low[j])[3] < 8 and not p >= 3) or (upper(j) and low[j] not in TAGS and not p >= 3 and len(low[j]) >= 4):
             return j - k + 1
         return 0
 
@@ -189,6 +221,9 @@ def propose(text: str, lists: Lists) -> list[Span]:
 
     while i < n:
         t, a, b = tokens[i]
+        if not can_start(t):
+            i += 1
+            continue
         titled = i > 0 and low[i - 1] in TITLES
         if not (upper(i) or given(i) or (titled and low[i] in PARTICLES)) or not free(a, b) or any(x <= a < y for x, y in streets):
             i += 1
