@@ -298,6 +298,8 @@ CUES = {
     1: {"tel", "ring", "is", "telefon", "tél", "phone", "call", "to", "or"}, 2: {"passport", "id", "number", "nr", "identité", "no", "ausweis", "card"},
     3: {"at", "to", "wohne", "habite", "lives", "went", "contact"},
 }
+NOT_PERSONAL = re.compile(r"(?:film|ms|lot|dated|price|lies at)\W*$")
+FIRM = re.compile(r"\s*(?:&|and|und|et)\s*(?:Sons|Co|Bros|Söhne|Fils)\b")
 AGAINST = {"film", "ms", "lot", "price", "dated", "number", "call", "entry", "fol", "record", "vol", "page", "p"}
 
 
@@ -309,8 +311,8 @@ def features(text: str, s: Span) -> list[float]:
     digits = sum(c.isdigit() for c in surface)
     title = before.strip(".") in TITLES
     return [
-        s.kind, s.form, len(surface), digits, float(bool(ID_SHAPE.fullmatch(surface.replace(" ", " ")))), float(surface[:1] in "+0("), float(before in CUES.get(s.kind, ())), float(before in AGAINST or bool(re.search(r"(film|ms|lot|dated|price|lies at)\W*$", near))),
-        float(title), float(before in SHIPS), float(after in HOUSES), float(bool(re.match(r"\s*(?:&|and|und|et)\s*(?:Sons|Co|Bros|Söhne|Fils)\b", follow + text[s.end + 8 : s.end + 16]))), min(g, 20), min(f, 20), min(p, 20), count,
+        s.kind, s.form, len(surface), digits, float(bool(ID_SHAPE.fullmatch(surface.replace(" ", " ")))), float(surface[:1] in "+0("), float(before in CUES.get(s.kind, ())), float(before in AGAINST or (s.kind != 4 and bool(NOT_PERSONAL.search(near)))),
+        float(title), float(before in SHIPS), float(after in HOUSES), float(s.kind == 4 and bool(FIRM.match(text, s.end))), min(g, 20), min(f, 20), min(p, 20), count,
         float(surface[:1].isupper()), float(surface.isupper()), float(before in PLACE_CUES), float(follow[:2] in ("'s", "’s")), float(before == "of" and "firm" in near), float(bool(after) and after in ("who", "was", "sailed", "lost")), float(before in ("saint", "mount", "fort", "north", "south", "east", "west", "great", "little", "upper")),
     ]
 
