@@ -6,7 +6,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -70,6 +70,39 @@ def ratio_at_least(a: Column, b: Column, least: float) -> Column:
     return F.when(possible, ratio_udf(a, b) >= least).otherwise(False)
 
 
+#: Pairs of at most this many characters together meet by segments at their places, longer ones by segments anywhere.
+LONG = 48
+
+
+def near_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, r): pairs of different strings of a(a) and b(b), each distinct, whose LCS ratio r is 85 or more; none is lost.
+
+    Such strings differ by at most D = 15 % of the sum s of their lengths in single insertions and deletions, D of the
+    parity of s. Cut into D + 1 segments, b keeps one of them whole, and a has it at most the insertions to the right and
+    the deletions to the left. Where s is over LONG, b is cut once, for the longest partner, into segments of 2 or 3.
+    """
+    most = lambda s: f"({s} * 3 div 20 - ({s} + {s} * 3 div 20) % 2)"
+    sides = []
+    for df, me in ((a, "a"), (b, "b")):
+        d = df.select(me, F.length(me).alias(f"n{me}")).where(f"n{me} > 2")
+        other = "b" if me == "a" else "a"
+        d = d.withColumn(f"n{other}", F.explode(F.expr(f"sequence(cast(ceil(n{me} * 17 / 23) as int), cast(floor(n{me} * 23 / 17) as int))")))
+        sides.append(d.withColumn("d", F.expr(most("(na + nb)"))).where("d >= 1 and abs(na - nb) <= d"))
+    cut = lambda df: df.where(f"na + nb <= {LONG}").withColumn("i", F.explode(F.expr("sequence(0, cast(d as int))"))).withColumn("at", F.expr("i * nb div (d + 1)")).withColumn("size", F.expr("(i + 1) * nb div (d + 1) - at"))
+    key = F.expr("xxhash64(na, nb, i, part)").alias("key")
+    of_b = cut(sides[1]).withColumn("part", F.expr("substring(b, cast(at + 1 as int), cast(size as int))")).select("b", key, F.lit(-1).alias("pb"))
+    moved = cut(sides[0]).where("greatest(0, at - (d + nb - na) div 2) <= least(na - size, at + (d - nb + na) div 2)").withColumn("at", F.explode(F.expr("sequence(greatest(0, at - (d + nb - na) div 2), least(na - size, at + (d - nb + na) div 2))")))
+    of_a = moved.withColumn("part", F.expr("substring(a, cast(at + 1 as int), cast(size as int))")).select("a", key, F.lit(-1).alias("pa"))
+    long_b = sides[1].groupBy("b", "nb").agg(F.max("na").alias("na")).where(f"na + nb > {LONG}").withColumn("k", F.expr("(na + nb) * 3 div 20 + 1"))
+    long_b = long_b.withColumn("i", F.explode(F.expr("sequence(0, cast(k - 1 as int))"))).withColumn("pb", F.expr("cast(i * nb div k as int)"))
+    long_b = long_b.select("b", F.expr("xxhash64(substring(b, pb + 1, cast((i + 1) * nb div k - pb as int)))").alias("key"), "pb")
+    long_a = sides[0].groupBy("a", "na").agg(F.max("nb").alias("nb")).where(f"na + nb > {LONG}").withColumn("size", F.explode(F.array(F.lit(2), F.lit(3))))
+    long_a = long_a.withColumn("pa", F.explode(F.expr("sequence(0, na - size)"))).select("a", F.expr("xxhash64(substring(a, pa + 1, size))").alias("key"), "pa")
+    met = of_a.unionByName(long_a).join(of_b.unionByName(long_b), "key").where("abs(pa - pb) * 20 <= 3 * (length(a) + length(b))")
+    met = met.where("a <> b and levenshtein(a, b) * 20 <= 3 * (length(a) + length(b))").select("a", "b").distinct()
+    return met.withColumn("r", ratio_udf(F.col("a"), F.col("b"))).where("r >= 85")
+
+
 _VOWELS = "AEIOU"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions import exprs as X
-from stemma.functions.similarity import ratio_udf
+from stemma.functions.similarity import near_pairs
 from stemma.operators.nearby import great_circle_km, usable
 from stemma.plans.model import Tree
 
@@ -57,8 +57,7 @@ def geocode(places: DataFrame, gazetteer: DataFrame, cache: DataFrame | None = N
     """(id, lat, lon, source, confidence) of places(id, original, latitude, longitude): the cache, then nothing for places
     that have no coordinates, then the place's own, then the gazetteer(name, country, lat, lon), else not_found.
 
-    The gazetteer is asked by the first component: an equal name is of high confidence, a ratio of 85 or more (after
-    equality of the first letter and near length, checked in the JVM) of medium.
+    The gazetteer is asked by the first component: an equal name is of high confidence, a ratio of 85 or more of medium.
     """
     first = F.lower(F.element_at(F.concat(X.place_components(F.col("original")), F.array(F.lit(""))), 1))
     last = F.lower(F.element_at(F.concat(F.array(F.lit("")), X.place_components(F.col("original"))), -1))
@@ -66,11 +65,11 @@ def geocode(places: DataFrame, gazetteer: DataFrame, cache: DataFrame | None = N
     g = gazetteer.select(F.lower("name").alias("g_name"), F.lower("country").alias("g_country"), F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
     fits = (F.col("country_name") == F.col("g_country")) if check_country else F.lit(True)
     exact = p.join(g, (F.col("first") == F.col("g_name")) & fits).groupBy("id").agg(F.min(F.struct("g_lat", "g_lon")).alias("e"))
-    rest = p.where("first <> ''").join(exact.select(F.col("id").alias("x")), F.col("id") == F.col("x"), "left_anti")
-    near = rest.join(g, (F.substring("first", 1, 1) == F.substring("g_name", 1, 1)) & (F.abs(F.length("first") - F.length("g_name")) <= 6) & fits)
-    near = near.where(F.levenshtein("first", "g_name") <= 0.15 * (F.length("first") + F.length("g_name"))).withColumn("r", ratio_udf(F.col("first"), F.col("g_name"))).where("r >= 85")
-    near = near.groupBy("id").agg(F.max_by(F.struct("g_lat", "g_lon"), F.struct("r", "g_lat", "g_lon")).alias("m"))
-    out = p.join(exact, "id", "left").join(near, "id", "left")
+    rest = p.where("first <> ''").join(exact, "id", "left_anti").select("first", "country_name").distinct()
+    alike = near_pairs(rest.select(F.col("first").alias("a")).distinct(), g.select(F.col("g_name").alias("b")).distinct())
+    near = rest.join(alike, F.col("first") == F.col("a")).join(g, (F.col("b") == F.col("g_name")) & fits)
+    near = near.groupBy("first", "country_name").agg(F.max_by(F.struct("g_lat", "g_lon"), F.struct("r", "g_lat", "g_lon")).alias("m"))
+    out = p.join(exact, "id", "left").join(near, ["first", "country_name"], "left")
     if cache is not None:
         out = out.join(cache.select("id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.lit(True).alias("c")), "id", "left")
     else:

@@ -56,6 +56,25 @@ def test_similarity():
     assert S.weighted_ratio("new york city", "city new york") == 95
 
 
+def test_near_pairs_against_brute_force(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcde ") for _ in range(rng.choice((3, 4, 5, 7, 8, 10, 13, 20, 24, 26, 40, 60)))) for _ in range(120)]
+
+    def changed(s, edits):
+        for _ in range(edits):
+            k = rng.randrange(len(s) + 1)
+            s = s[:k] + s[k + 1 :] if rng.random() < 0.5 and len(s) > 2 else s[:k] + rng.choice("abcde ") + s[k:]
+        return s
+
+    others = [changed(s, rng.randint(0, 1 + len(s) // 3)) for s in names for _ in range(6)]
+    others += ["(" * 7 + names[-1], names[0]]
+    want = {(a, b) for a in set(names) for b in set(others) if a != b and S.lcs_ratio(a, b) >= 85}
+    frames = [spark.createDataFrame([(v,) for v in sorted(set(x))], f"{c} string") for x, c in ((names, "a"), (others, "b"))]
+    got = [(r.a, r.b) for r in S.near_pairs(*frames).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 150
+    assert any(a[0] != b[0] for a, b in want) and any(abs(len(a) - len(b)) > 6 for a, b in want)
+
+
 def test_current_keeps_latest_with_extra_columns(spark):
     df = spark.sql("select * from values ('a', 1, 5, 'x'), ('a', 1, 6, 'y'), ('b', 2, 1, null), (null, 3, 2, 'z') as t(id, loaded_at, ord, _row)")
     got = {r.id: r["_row"] for r in T.current(df, "id").collect()}

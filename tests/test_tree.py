@@ -157,6 +157,16 @@ def test_spatial_and_geocoding(spark, tree, tmp_path):
     assert caches.file_hash(spark, str(tmp_path / "f.bin")).first().sha256.startswith("ba7816bf")
 
 
+def test_geocode_first_letter_and_long_names(spark):
+    long = "north " * 8 + "dale"
+    gaz = spark.createDataFrame([("Pelbeby", "Shire", 1.0, 2.0), ("Bardaham", "", 3.0, 4.0), (long, "", 5.0, 6.0), ("Pelbeby", "Other", 7.0, 8.0)], "name string, country string, lat double, lon double")
+    asked = spark.createDataFrame([("1", "(pelbeby, Shire", None, None), ("2", "ardaham", None, None), ("3", long + " by sea", None, None), ("4", "Peb", None, None)], "id string, original string, latitude double, longitude double")
+    got = {r.id: (r.lat, r.source, r.confidence) for r in spatial.geocode(asked, gaz).collect()}
+    assert got == {"1": (7.0, "gazetteer", "medium"), "2": (3.0, "gazetteer", "medium"), "3": (5.0, "gazetteer", "medium"), "4": (None, "not_found", "low")}
+    checked = {r.id: (r.lat, r.source) for r in spatial.geocode(asked, gaz, check_country=True).collect()}
+    assert checked["1"] == (1.0, "gazetteer") and checked["2"] == (None, "not_found")
+
+
 def test_api(spark, tree):
     from stemma.api import Genealogy
     from stemma.operators import places, vector
