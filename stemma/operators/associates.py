@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import exprs as X
 from stemma.functions.similarity import ratio_at_least
-from stemma.operators import graph
+from stemma.operators import graph, places
 from stemma.operators.lookup import ids_of
 from stemma.plans.model import Tree
 
@@ -24,7 +24,8 @@ def find(tree: Tree, id_: str, place: str | None = None, start: int | None = Non
     """(id, name, strength, overlaps, shared_places, overlap_years, is_relative), strongest first.
 
     Each pair of events at one place scores 150 in the same year, 80 within five, 20 beyond, 30 if a year is missing; 50 for
-    each further shared place; 6 for each shared year of life up to 50; at most 1000. ``fuzzy`` matches places by ratio.
+    each further shared place; 6 for each shared year of life up to 50; at most 1000. ``fuzzy`` matches places by ratio
+    or if one contains the other; so does ``place``, at a ratio of 80, which chooses the person's events.
     """
     me = ids_of(tree, [id_]).select("asked")
     ev = events_with_places(tree)
@@ -34,16 +35,19 @@ def find(tree: Tree, id_: str, place: str | None = None, start: int | None = Non
     if end is not None:
         mine = mine.where((F.col("year") <= end) | F.col("year").isNull())
     if place:
-        mine = mine.where(F.col("place_norm").contains(place.lower()))
+        mine = mine.where(places.match(F.col("place_norm"), X.normalize_place(F.lit(place))))
     t = mine.select(F.col("place_norm").alias("t_place"), F.col("year").alias("t_year"))
     others = ev.join(me, F.col("individual_id") == F.col("asked"), "left_anti")
     if fuzzy:
         # distinct places only: the person's few against all, thinned by edit distance in the JVM
         known = others.select(F.col("place_norm").alias("c_place")).distinct()
         wanted = t.select("t_place").distinct()
-        match = known.join(F.broadcast(wanted), F.abs(F.length("t_place") - F.length("c_place")) <= 0.35 * (F.length("t_place") + F.length("c_place")))
         hold = F.col("t_place").contains(F.col("c_place")) | F.col("c_place").contains(F.col("t_place"))
-        match = match.where(hold | ratio_at_least(F.col("t_place"), F.col("c_place"), like)).select("t_place", "c_place")
+        # the bound on lengths is a necessary condition of the ratio alone
+        both = F.length("t_place") + F.length("c_place")
+        near = (F.abs(F.length("t_place") - F.length("c_place")) <= F.lit(1 - like / 100) * both + F.lit(1e-9)) & ratio_at_least(F.col("t_place"), F.col("c_place"), like)
+        match = known.crossJoin(F.broadcast(wanted))
+        match = match.where(hold).unionByName(match.where(~hold & near)).select("t_place", "c_place")
         pairs = others.join(match, others.place_norm == match.c_place).join(t, "t_place")
     else:
         pairs = others.join(t, others.place_norm == t.t_place)

@@ -137,6 +137,20 @@ def test_associates(tree):
     assert {r.id for r in alike} >= set(rows) and any(r.is_relative for r in alike)
 
 
+def test_associates_by_containment(spark, tmp_path):
+    d, address = str(tmp_path), "71 Oxbow Street, Ingibridge, Bramanshire County, Kingdom of Ruland"
+    at = [("a", "Ingibridge"), ("b", address), ("c", "Ingibrigde"), ("d", "Oxbow"), ("e", None)]
+    p = [(i, i, "Lee", "F", "1900", place, None, None, None, [], [], k, k) for k, (i, place) in enumerate(at)]
+    spark.createDataFrame(p, "id string, given_name string, surname string, sex string, birth_date string, birth_place string, death_date string, death_place string, family_as_child string, families_as_spouse array<string>, notes array<string>, loaded_at long, ord long").withColumn("loaded_at", F.timestamp_seconds("loaded_at")).write.parquet(f"{d}/individuals.parquet")
+    spark.createDataFrame([], "id string, husband_id string, wife_id string, children_ids array<string>, marriage_date string, marriage_place string, loaded_at timestamp, ord long").write.parquet(f"{d}/families.parquet")
+    spark.createDataFrame([], "individual_id string, event_ord int, type string, date string, place string, description string, notes array<string>, loaded_at timestamp, ord long").write.parquet(f"{d}/person_events.parquet")
+    people = Tree(spark, d)
+    found = lambda id_, place=None: {r.id for r in associates.find(people, id_, place, most=None, fuzzy=True, exclude_relatives=False).collect()}
+    assert found("a") == {"@b@", "@c@"} and found("d") == {"@b@"} and found("b") == {"@a@", "@d@"}
+    # the filter holds by ratio and by containment either way
+    assert found("a", "Ingibridges") == found("a", "Ingibridge, Bramanshire") == {"@b@", "@c@"} and found("a", "Dale") == set()
+
+
 def test_spatial_and_geocoding(spark, tree, tmp_path):
     gaz = spark.createDataFrame([("Dale", "Shire", 1.0, 2.0), ("Hilltown", "Shire", 3.0, 4.0)], "name string, country string, lat double, lon double")
     asked = spark.createDataFrame([("1", "Dale", None, None), ("2", "Hiltown, Shire", None, None), ("3", "at sea", 5.0, 6.0), ("4", "Own", 7.0, 8.0), ("5", "Zzz", None, None), ("6", None, None, None)], "id string, original string, latitude double, longitude double")
