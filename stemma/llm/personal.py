@@ -49,7 +49,7 @@ STREET = re.compile(
 #: A text without any of these holds no street, so that the long pattern need not run.
 STREET_MARK = re.compile(
     rf"{S}(?:{TYPES})\b|Box{S}|Postfach|B\.?P\.?{S}+\d|(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|ring|damm|graben|markt){S}+\d"
-    rf"|\d[a-z]?,?{S}+(?:bis{S}+|ter{S}+)?(?:rue|avenue|chemin|place|boulevard|impasse|quai|allée|route|passage|cours)\b|\b(?:Am|An der|Im|In der|Zum|Zur){S}+\S+{S}+\d"
+    rf"|\d(?:{S}?(?:bis|ter|[a-z]))?,?{S}+(?:rue|avenue|chemin|place|boulevard|impasse|quai|allée|route|passage|cours)\b|\b(?:Am|An der|Im|In der|Zum|Zur){S}+\S+{S}+\d"
 )
 WEB = re.compile(r"(?:https?://|www\.)\S+")
 TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+(?:['’\-][A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+)*")

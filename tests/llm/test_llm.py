@@ -198,3 +198,15 @@ def test_personal(spark):
     out = {r.doc_id: r.text for r in personal.redact(df, found_by).collect()}
     assert out[1001] is None and out[1002] == "" and out[1000].startswith("Dear [NAME], write to [EMAIL] or [PHONE]. ID [ID_NUMBER]; film 1 938 362. Kelcroft Hall")
     assert personal.find_items(df.limit(0), found_by).count() == 0
+
+
+def test_every_street_has_its_mark():
+    french = [f"{n}{w} de la Paix" for w in ("rue", "avenue", "quai", "cours") for n in ("12 ", "12b ", "12bis ", "12ter ", "14 b ", "12 bis, ", "12 ter ", "3bis,  ", "7, ")]
+    german = ["Hauptstraße 5", "Lindenstrasse 7b", "Bahnhofstr. 9", "Rosengasse 1", "Marktplatz 3", "Am Hang 4", "In der Aue 12", "Zum Löwen 8a"]
+    english = [f"12 Mill {t}" for t in personal.TYPES.split("|")] + [f"Mill {t} No. 4" for t in personal.TYPES.split("|")] + ["Flat 3, 12a Old Mill Road"]
+    boxes = ["P.O. Box 9", "PO Box 9", "P. O.Box 12", "Postfach 33", "B.P. 40", "BP 40"]
+    lists = personal.Lists(np.zeros((4, personal.BUCKETS), np.uint8))
+    for text in french + german + english + boxes:
+        assert personal.STREET.search(text), text
+        assert personal.STREET_MARK.search(text), text
+        assert any(s.kind == 3 for s in personal.propose(text, lists)), text
