@@ -8,7 +8,8 @@ scanned block by block, and a candidate is abandoned as soon as a hypothesis tes
 that it cannot be among the query's k best so far. Exact copies travel once and are expanded at the end.
 
 Every row is indexed and searched. Bounds: SAMPLE_ROWS rows train the lists; of a query's PROBES nearest lists
-those within MARGIN of the nearest are scanned. Equal vectors are told by a 64-bit hash of their rounded numbers.
+those within MARGIN of the nearest are scanned. Lists are counted first: a query whose nearest lists hold less than
+k others takes further lists, all if need be, until they hold k, and MARGIN counts from the last of these. Equal vectors are told by a 64-bit hash of their rounded numbers.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ SAMPLE_ROWS = 12_000
 LIST_ROWS = 600
 CELL_ROWS = 12_000
 PROBES = 8
-#: A list is only scanned if its centre's cosine is within this of the nearest centre's.
+#: A list is only scanned if its centre's cosine is within this of the nearest centre's, or of the centre's at which
+#: the lists from the nearest on hold k rows besides the query.
 MARGIN = 0.08
 #: Ends of the column blocks, and the significance of the test: a candidate is abandoned when its partial
 #: distance exceeds what the k-th best would show in that block by this many standard errors.
@@ -84,6 +86,34 @@ def cells_of_lists(centres: np.ndarray, weight: np.ndarray, cells: int) -> np.nd
     return out
 
 
+def probes_of(x: np.ndarray, centres: np.ndarray, sizes: np.ndarray, probes: int, margin: float, k: int) -> np.ndarray:
+    """Lists to scan for each row, nearest first, -1 where there is none; together they hold k rows besides the row
+    itself if the table has them. sizes: rows of each list."""
+    near = nearest(x, centres, probes)
+    probes = near.shape[1]
+    need = np.zeros(len(x), np.int64)
+    held = np.cumsum(sizes[near], 1) > k
+    some = held[:, -1]
+    need[some] = held[some].argmax(1)
+    short = np.flatnonzero(~some)
+    for s in range(0, len(short) if probes < len(centres) else 0, 1024):
+        rows = short[s : s + 1024]
+        far = nearest(x[rows], centres, len(centres))
+        held = np.cumsum(sizes[far], 1) > k
+        need[rows] = np.where(held[:, -1], held.argmax(1), len(centres) - 1)
+        far[np.arange(len(centres)) > np.maximum(need[rows], probes - 1)[:, None]] = -1
+        wide = max(near.shape[1], int(need[rows].max()) + 1)
+        near = np.pad(near, ((0, 0), (0, wide - near.shape[1])), constant_values=-1)
+        near[rows] = far[:, :wide]
+    if probes == len(centres):
+        need[short] = probes - 1
+    sim = np.empty(near.shape, np.float32)
+    for c in range(near.shape[1]):
+        sim[:, c] = np.einsum("ij,ij->i", x, centres[near[:, c]])
+    least = sim[np.arange(len(x)), need] - margin
+    return np.where((near >= 0) & ((sim >= least[:, None]) | (np.arange(near.shape[1]) <= need[:, None])), near, -1)
+
+
 class Best:
     """The k least distances of each query so far, and whose they are."""
 
@@ -227,6 +257,17 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
     cell_of = cells_of_lists(centres, weight, n_cells)
     n_probes = min(probes, len(centres))
 
+    def assign(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nearest(x, centres, 1)[:, 0])], names=["same", "list"])
+
+    counted = ready.select("same", "turned").mapInArrow(assign, "same bigint, list int").groupBy("list").agg(F.count_distinct("same").alias("n")).toPandas()
+    sizes = np.zeros(len(centres), np.int64)
+    sizes[counted.list.to_numpy()] = counted.n.to_numpy()
+
     def route(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -241,11 +282,10 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
             if not len(fresh):
                 continue
             x = np.stack([np.frombuffer(r, np.float16) for r in batch.column(2).to_pylist()]).astype(np.float32)
-            near = nearest(x, centres, n_probes)
-            sim = np.einsum("ij,ikj->ik", x, centres[near])
+            near = probes_of(x, centres, sizes, n_probes, margin, k)
             cell = cell_of[near]
-            done = sim < sim[:, :1] - margin
-            for c in range(n_probes):
+            done = near < 0
+            for c in range(near.shape[1]):
                 todo = ~done[:, c]
                 rows = np.flatnonzero(todo)
                 if not len(rows):

@@ -41,6 +41,18 @@ def test_similar_with_copies_and_unusable_rows(spark):
     assert vectors.similar_pairs(df.where("vec_id = 1"), dim=16).count() == 0
 
 
+def test_vectors_alone_in_their_list_find_k_others(spark):
+    rng = np.random.default_rng(9)
+    crowd = np.eye(32)[0] + 0.02 * rng.standard_normal((150, 32))
+    alone = rng.standard_normal((50, 32))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([crowd, alone]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = vectors.similar(df, k=10, dim=32, list_rows=4, cell_rows=40, probes=2).groupBy("id").count().collect()
+    assert len(got) == 200 and {r["count"] for r in got} == {10}
+    few = vectors.similar(df.where("vec_id >= 193"), k=10, dim=32, list_rows=1, cell_rows=2, probes=2).groupBy("id").count().collect()
+    assert len(few) == 7 and {r["count"] for r in few} == {6}
+
+
 def test_scan_abandons_without_losing_neighbours():
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((60, 64))
