@@ -63,26 +63,26 @@ def _columns(batch_words: list[str]) -> list[np.ndarray]:
     return out
 
 
-def ngram_keys(ordered: list[int], rate: list[float], misses: int, texts: float, block: float) -> list[int]:
+def ngram_keys(ordered: list[int], rate: list[float], misses: int, texts: float, block: float, least: int) -> list[int]:
     """Hashes of the n-grams of first shared words, given the words from rare to frequent.
 
     rate: share of texts with the word. A path takes word i after skipping the ones between; skipped words are
-    missed, of which there may be ``misses``. It ends when texts * product of rates is at most ``block``, or at
-    the last word.
+    missed, of which there may be ``misses``. It ends when texts * product of rates is at most ``block``, or when it
+    has ``least`` words, as many as any two partners share: both ends are the same in two texts that share the path.
     """
     out: list[int] = []
     size = len(ordered)
-    stack = [(0, misses, texts, 0x9E3779B97F4A7C15)]
+    stack = [(0, misses, texts, 0x9E3779B97F4A7C15, least)]
     while stack:
-        at, left, expect, key = stack.pop()
+        at, left, expect, key, more = stack.pop()
         for i in range(at, min(size, at + left + 1)):
             grown = ((key ^ ordered[i]) * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF
             grown ^= grown >> 32
             now = expect * rate[i]
-            if now <= block or i == size - 1:
+            if now <= block or more <= 1:
                 out.append(grown)
             else:
-                stack.append((i + 1, left - (i - at), now, grown))
+                stack.append((i + 1, left - (i - at), now, grown, more - 1))
     return out
 
 
@@ -121,6 +121,8 @@ def overlapping(records: DataFrame, share: float = 0.8, least: int = 20, id_col:
     total = int(counted.n[counted.bucket < 0].sum())
     shipped = spark.sparkContext.broadcast(df)
 
+    fewest = needed(least, share)
+
     def file(batches):
         freq, seen = shipped.value, set()
         for batch in batches:
@@ -137,7 +139,7 @@ def overlapping(records: DataFrame, share: float = 0.8, least: int = 20, id_col:
             # the low bits of the second word hold the size, so that a filed row is three words beside its key
             two = (two & ~np.uint64(SIZE_MASK)) | np.minimum(sizes, SIZE_MASK).astype(np.uint64)
             words_, rates = flat.tolist(), (f / total).tolist()
-            keys = [ngram_keys(words_[e - n : e], rates[e - n : e], n - needed(n, share), total, block_texts) for n, e in zip(sizes.tolist(), ends.tolist())]
+            keys = [ngram_keys(words_[e - n : e], rates[e - n : e], n - needed(n, share), total, block_texts, fewest) for n, e in zip(sizes.tolist(), ends.tolist())]
             times = np.array([len(k) for k in keys])
             key = np.fromiter((x for k in keys for x in k), np.uint64, times.sum()).view(np.int64)
             col = lambda v: pa.array(np.repeat(v, times).view(np.int64))

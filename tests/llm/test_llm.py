@@ -70,6 +70,15 @@ def test_scan_abandons_without_losing_neighbours():
 # --- overlap ---------------------------------------------------------------------------------------------------------
 
 
+def test_overlap_of_common_words_alone(spark):
+    # a and b share sixteen words; the four others of each are more frequent, so they stand last in the order
+    shared, own = [f"s{k}" for k in range(16)], {"a": [f"x{k}" for k in range(4)], "b": [f"y{k}" for k in range(4)]}
+    rows = [(r, " ".join(shared + own[r])) for r in "ab"]
+    rows += [(f"{r}{n}", " ".join([f"u{r}{n}{k}" for k in range(16)] + own[r])) for r in "ab" for n in range(4)]
+    df = spark.createDataFrame(rows, "record string, text string")
+    assert [tuple(r) for r in overlap.overlapping(df, block_texts=1e-30).collect()] == [("a", "b")]
+
+
 def brute_overlap(rows):
     w = {r: Counter(x.lower() for x in re.findall("[A-Za-z0-9]+", t)) for r, t in rows if t is not None}
     w = {r: c for r, c in w.items() if sum(c.values()) >= 20}
