@@ -20,12 +20,12 @@ def current(df: DataFrame, *keys: str) -> DataFrame:
     """The row of each key with the greatest (loaded_at, ord).
 
     One aggregation with map-side combine: repeats are dropped before the shuffle, and a key with any
-    number of copies is never gathered in one task as a window would. Rows with a null key form one group
-    each like any other key. Extra columns are kept.
+    number of copies is never gathered in one task as a window would. Every column is an aggregate of its own, so
+    that columns nobody asks for are pruned down to the scan. Rows with a null key form one group each like any
+    other key. Extra columns are kept.
     """
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(F.col("loaded_at"), F.col("ord")))
-    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    newest = F.struct("loaded_at", "ord")
+    return df.groupBy(*keys).agg(*[F.max_by(c, newest).alias(c) for c in df.columns if c not in keys]).select(*df.columns)
 
 
 def individuals(spark: SparkSession, folder: str) -> DataFrame:
