@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,8 +91,8 @@ def brute_overlap(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [2.0, 2000.0])
-def test_overlap_against_brute_force(spark, block):
+@pytest.mark.parametrize("block,hot", [(2.0, 60_000), (2000.0, 60_000), (2000.0, 7)])
+def test_overlap_against_brute_force(spark, block, hot):
     rng = random.Random(6)
     vocabulary = [f"w{k}" for k in range(300)]
     rows = []
@@ -106,11 +107,28 @@ def test_overlap_against_brute_force(spark, block):
             rows.append((f"r{k}e{j}", ("; " if j else " ").join(edited).upper()))
     rows += [("n", None), ("e", ""), ("s", "short text"), ("long", "the " * 6000), ("long2", "the " * 5000), ("twin", rows[0][1]), ("k", "K " + rows[0][1])]
     df = spark.createDataFrame(rows + rows[:2], "record string, text string").withColumn("no", F.lit(1))
-    got = [(r.record_a, r.record_b) for r in overlap.overlapping(df, block_texts=block).collect()]
+    got = [(r.record_a, r.record_b) for r in overlap.overlapping(df, block_texts=block, hot=hot, chunk=3).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_overlap(rows)
     assert overlap.overlapping(df.limit(0)).count() == 0
 
 
+def test_whole_runs():
+    rng = np.random.default_rng(1)
+    key = np.sort(np.concatenate([rng.integers(0, 60, 300), np.full(90, 17), np.full(50, 60)]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + 23]), pa.array(np.arange(a, min(len(key), a + 23)))], names=["k", "n"]) for a in range(0, len(key), 23)]
+    for hot, rows in ((20, 40), (20, 1000), (5, 30), (1000, 50)):
+        seen, sets = [], []
+        for alone, (k, n) in overlap.whole_runs(iter(batches), ("k", "n"), hot, rows):
+            seen += n.tolist()
+            if not alone:
+                sets += [set(k.tolist())]
+                assert np.unique(k, return_counts=True)[1].max() <= hot
+            else:
+                assert all((key == x).sum() > hot for x in set(k.tolist()))
+        assert sorted(seen) == list(range(len(key)))
+        assert sum(map(len, sets)) == len(set().union(*sets)) if sets else True
+
+
 # --- addresses -------------------------------------------------------------------------------------------------------
 
 PLACES = [
