@@ -28,29 +28,27 @@ TREES, DEPTH, RATE = 40, 3, 0.3
 S = r"[^\S\r\n]"
 EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+\-]*{S}?(?:@|\(at\)|\[at\]|\{{at\}}){S}?[A-Za-z0-9][\w\-]*(?:(?:\.|{S}?(?:\[dot\]|\(dot\)|\{{dot\}}){S}?)[A-Za-z][\w\-]*)+", re.I)
 AT = re.compile(r"[(\[{]at[)\]}]", re.I)
-PHONE = re.compile(rf"(?<![\w.+/\-])(?:\+\d{{1,3}}[\s.\-]?(?:\(0\){S}?)?(?:\(?\d{{2,5}}\)?[  .\-]?)(?:\d{{2,5}}[  .\-]?){{0,3}}\d{{2,4}}|\(?\d{{3}}\)?[  .\-]\d{{3}}[  .\-]\d{{4}}|0\d{{2,5}}[  ./\-]?\d{{3}}[  .\-]?\d{{3,4}}|\d{{3}}[\-.]\d{{4}})(?:,?{S}?(?:ext\.?|x){S}?\d{{1,5}})?(?![\w\-]|[./]\d)")
-NUMBER = re.compile(rf"(?<![\w@/.\-])(?:[A-Z]{{1,3}}(?:[  \-]?\d{{1,6}}){{1,4}}(?:[  \-]?[A-Z])?|\d{{3}}[  \-]\d{{2}}[  \-]\d{{4}}|\d{{6}}-\d{{4,5}}|\d(?:[  ]\d{{3}}){{2,}}|\d{{4}}-\d{{2}}(?:-\d{{2}})?)(?![\w\-/]|\.\d)")
+#: What every alternative begins with is asked first, which spares most places of a text the rest.
+PHONE = re.compile(rf"(?=[+(\d])(?<![\w.+/\-])(?:\+\d{{1,3}}[\s.\-]?(?:\(0\){S}?)?(?:\(?\d{{2,5}}\)?[  .\-]?)(?:\d{{2,5}}[  .\-]?){{0,3}}\d{{2,4}}|\(?\d{{3}}\)?[  .\-]\d{{3}}[  .\-]\d{{4}}|0\d{{2,5}}[  ./\-]?\d{{3}}[  .\-]?\d{{3,4}}|\d{{3}}[\-.]\d{{4}})(?:,?{S}?(?:ext\.?|x){S}?\d{{1,5}})?(?![\w\-]|[./]\d)")
+NUMBER = re.compile(rf"(?=[A-Z\d])(?<![\w@/.\-])(?:[A-Z]{{1,3}}(?:[  \-]?\d{{1,6}}){{1,4}}(?:[  \-]?[A-Z])?|\d{{3}}[  \-]\d{{2}}[  \-]\d{{4}}|\d{{6}}-\d{{4,5}}|\d(?:[  ]\d{{3}}){{2,}}|\d{{4}}-\d{{2}}(?:-\d{{2}})?)(?![\w\-/]|\.\d)")
 #: The ways in which identity numbers are written: groups of letters and digits.
 ID_SHAPES = [r"[A-Z]{2}(?: ?\d\d){3} ?[A-D]", r"[A-Z]-\d{4}-\d{2}-[A-Z]", r"\d{3}[- ]\d{2}[- ]\d{4}", r"[A-Z]{3} ?\d{3} ?\d{3} ?\d{3}", r"\d{6}-\d{5}", r"[A-Z]{2}\d{7}"]
 ID_SHAPE = re.compile("|".join(f"(?:{s})" for s in ID_SHAPES))
-ID_NUMBER = re.compile(rf"(?<![\w@/.\-])(?:{ID_SHAPE.pattern.replace(' ?', '[  ]?').replace('[- ]', '[-  ]')})(?![\w\-/]|\.\d)")
+ID_NUMBER = re.compile(rf"(?=[A-Z\d])(?<![\w@/.\-])(?:{ID_SHAPE.pattern.replace(' ?', '[  ]?').replace('[- ]', '[-  ]')})(?![\w\-/]|\.\d)")
 #: Street types in three languages and their abbreviations.
 TYPES = "Street|St|Str|Road|Rd|Lane|La|Ln|Court|Ct|Crt|Place|Pl|Avenue|Ave|Av|Square|Sq|Terrace|Terr|Ter|Tce|Drive|Dr|Close|Row|Way|Crescent|Cres|Boulevard|Blvd"
 UNIT = rf"(?:Flat|Apt|Unit|Apartment|Suite|Room|No){S}?\.?{S}?\d+[a-z]?,?{S}+"
 WORD = r"[A-ZÀ-Þ][\w'’]+"
 STREET = re.compile(
-    rf"(?:{UNIT})?(?<![\w.,/\-])(?<!\d )\d{{1,4}}[a-z]?,?{S}+(?:{WORD}{S}+){{1,3}}?(?:{TYPES})\b(?:\.(?!\w))?"
+    rf"(?=[\dA-ZÀ-Þ])(?:(?:{UNIT})?(?<![\w.,/\-])(?<!\d )\d{{1,4}}[a-z]?,?{S}+(?:{WORD}{S}+){{1,3}}?(?:{TYPES})\b(?:\.(?!\w))?"
     rf"|(?:{UNIT})?{WORD}(?:{S}+{WORD})?{S}+(?:{TYPES})\b\.?{S}+(?:No\.{S}?)?\d{{1,4}}[a-z]?(?![\w/\-])"
     rf"|P\.?{S}?O\.?{S}?Box{S}+\d+|(?:Postfach|B\.?P\.?){S}+\d+"
     rf"|\b[A-ZÄÖÜ][\wäöüß]*(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|ring|damm|graben|markt){S}+\d{{1,4}}{S}?[a-z]?\b"
     rf"|\b(?:Am|An der|Im|In der|Zum|Zur){S}+[A-ZÄÖÜ][\wäöüß]+{S}+\d{{1,4}}[a-z]?\b"
-    rf"|\b\d{{1,4}}(?:{S}?(?:bis|ter|[a-z]))?,?{S}+(?:rue|avenue|chemin|place|boulevard|impasse|quai|allée|route|passage|cours){S}+(?:(?:de la|du|des|de|de l['’]|d['’]|l['’]){S}*)?[\w'’\-]+(?:{S}+[A-ZÀ-Þ][\w'’\-]+)?"
-)
-#: A text without any of these holds no street, so that the long pattern need not run.
-STREET_MARK = re.compile(
-    rf"{S}(?:{TYPES})\b|Box{S}|Postfach|B\.?P\.?{S}+\d|(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|ring|damm|graben|markt){S}+\d"
-    rf"|\d(?:{S}?(?:bis|ter|[a-z]))?,?{S}+(?:rue|avenue|chemin|place|boulevard|impasse|quai|allée|route|passage|cours)\b|\b(?:Am|An der|Im|In der|Zum|Zur){S}+\S+{S}+\d"
+    rf"|\b\d{{1,4}}(?:{S}?(?:bis|ter|[a-z]))?,?{S}+(?:rue|avenue|chemin|place|boulevard|impasse|quai|allée|route|passage|cours){S}+(?:(?:de la|du|des|de|de l['’]|d['’]|l['’]){S}*)?[\w'’\-]+(?:{S}+[A-ZÀ-Þ][\w'’\-]+)?)"
 )
+#: White space that may stand inside a name: without and with the narrow kinds.
+WHITE, WHITE_LINE = " \u00a0\u200b\t", " \u00a0\u200b\t\u2009\u202f\ufeff"
 WEB = re.compile(r"(?:https?://|www\.)\S+")
 TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+(?:['’\-][A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+)*")
 TITLES = {"mr", "mrs", "miss", "ms", "dr", "rev", "capt", "sir", "mme", "mlle", "m", "herr", "frau", "abbé", "l'abbé", "l’abbé", "widow", "frl", "lady", "prof", "sgt", "lt", "col", "maj", "pfarrer", "fräulein", "dame"}
@@ -76,39 +74,39 @@ def contraction(word: str) -> bool:
     return len(word) >= 2 and any(f[0] == word[0] and len(word) < len(f) and contained(word, f) for f in COMMON_SHORT)
 
 
+class Memo(dict):
+    """A function of one string, remembered; emptied at a bound, since a worker may see any number of words."""
+
+    def __init__(self, of, most: int = 300_000):
+        super().__init__()
+        self.of, self.most = of, most
+
+    def __missing__(self, word: str):
+        if len(self) > self.most:
+            self.clear()
+        got = self[word] = self.of(word)
+        return got
+
+
 class Lists:
     """How many rows hold a word as a given name, a surname, a place, or in lower case in a text: one byte a bucket, up to 255."""
 
     def __init__(self, tables: np.ndarray):
         self.tables = tables
-        self.known: dict[str, tuple[int, int, int, int]] = {}
-        self.starts: dict[str, bool] = {}
-
-    def of(self, word: str) -> tuple[int, int, int, int]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            b = bucket(word)
-            got = self.known[word] = tuple(int(v) for v in self.tables[:, b])
-        return got
-
-    def start(self, token: str) -> bool:
-        """Whether a name can begin with the token; remembered, since most tokens of a text are a few common words."""
-        got = self.starts.get(token)
-        if got is None:
-            if len(self.starts) > 300_000:
-                self.starts.clear()
-            w = lowered(token)
-            g, f, p, c = self.of(w)
-            if len(w) == 1:
-                got = token.isupper()
-            elif w in PARTICLES or (g >= 3 and g > f):
-                got = True
-            else:
-                got = token[0].isupper() and w not in TITLES and (f >= 2 or (c < 8 and p < 3))
-            self.starts[token] = got
-        return got
+        self.known = Memo(lambda word: tuple(map(int, self.tables[:, bucket(word)])))
+        self.of = self.known.__getitem__
+        self.low = Memo(lowered)
+        #: whether a name can begin with a token; most tokens of a text are a few common words
+        self.start = Memo(self._start)
+
+    def _start(self, token: str) -> bool:
+        w = lowered(token)
+        g, f, p, c = self.of(w)
+        if len(w) == 1:
+            return token.isupper()
+        if w in PARTICLES or (g >= 3 and g > f):
+            return True
+        return token[0].isupper() and w not in TITLES and (f >= 2 or (c < 8 and p < 3))
 
 
 def word_lists(documents: DataFrame, individuals: DataFrame, name_forms: DataFrame, places: DataFrame, text: str = "text") -> Lists:
@@ -141,7 +139,6 @@ def word_lists(documents: DataFrame, individuals: DataFrame, name_forms: DataFra
     return Lists(tables)
 
 
-@lru_cache(maxsize=200_000)
 def lowered(token: str) -> str:
     w = token.lower().replace("’", "'")
     return w[:-2] if w.endswith("'s") else w
@@ -163,17 +160,29 @@ def propose(text: str, lists: Lists) -> list[Span]:
         out += [Span(m.start(), m.end(), 2, 2) for m in ID_NUMBER.finditer(text) if free(m.start(), m.end())]
         sure = [(s.start, s.end) for s in out if s.kind == 2]
         out += [Span(m.start(), m.end(), 2, 20) for m in NUMBER.finditer(text) if free(m.start(), m.end()) and all(m.end() <= x or m.start() >= y for x, y in sure)]
-        if STREET_MARK.search(text):
-            out += [Span(m.start(), m.end(), 3, 3) for m in STREET.finditer(text) if free(m.start(), m.end())]
+        out += [Span(m.start(), m.end(), 3, 3) for m in STREET.finditer(text) if free(m.start(), m.end())]
     streets = [(s.start, s.end) for s in out if s.kind == 3]
     tokens = [(m.group(), *m.span()) for m in TOKEN.finditer(text)]
-    n, i = len(tokens), 0
-    low = [lowered(t) for t, _, _ in tokens]
-    can_start = lists.start
-    gap = lambda k: text[tokens[k][2] : tokens[k + 1][1]]
-    tight = lambda k: k + 1 < n and bool(gap(k)) and not gap(k).strip("  ​\t  ﻿")
-    dotted = lambda k: k + 1 < n and gap(k)[:1] == "." and not gap(k)[1:].strip("  ​\t")
-    comma = lambda k: k + 1 < n and gap(k)[:1] == "," and len(gap(k)) > 1 and not gap(k)[1:].strip("  ​\t")
+    n = len(tokens)
+    known = lists.low
+    low = [known[t] for t, _, _ in tokens]
+
+    def tight(k: int) -> bool:
+        """Whether nothing but white space stands between the tokens k and k + 1."""
+        if k + 1 >= n:
+            return False
+        gap = text[tokens[k][2] : tokens[k + 1][1]]
+        return gap == " " or (gap != "" and not gap.strip(WHITE_LINE))
+
+    def after_mark(k: int, mark: str) -> str | None:
+        """What follows the mark right after the token k up to the next one, if only that stands between them."""
+        if k + 1 >= n or text[tokens[k][2]] != mark:
+            return None
+        gap = text[tokens[k][2] + 1 : tokens[k + 1][1]]
+        return None if gap.strip(WHITE) else gap
+
+    dotted = lambda k: after_mark(k, ".") is not None
+    comma = lambda k: bool(after_mark(k, ","))
     dated = lambda k: low[k] in MONTHS and bool(re.search(r"\d\W*$", text[max(0, tokens[k][1] - 4) : tokens[k][1]]) or re.match(r"\W{0,2}\d", text[tokens[k][2] : tokens[k][2] + 3]))
 
     def given(k: int) -> bool:
@@ -219,11 +228,12 @@ def propose(text: str, lists: Lists) -> list[Span]:
                 break
         return j - k
 
-    while i < n:
-        t, a, b = tokens[i]
-        if not can_start(t):
-            i += 1
+    i = 0
+    start = lists.start
+    for k in [k for k, t in enumerate(tokens) if start[t[0]]]:
+        if k < i:
             continue
+        i, (_, a, b) = k, tokens[k]
         titled = i > 0 and low[i - 1] in TITLES
         if not (upper(i) or given(i) or (titled and low[i] in PARTICLES)) or not free(a, b) or any(x <= a < y for x, y in streets):
             i += 1
@@ -306,12 +316,15 @@ AGAINST = {"film", "ms", "lot", "price", "dated", "number", "call", "entry", "fo
 def features(text: str, s: Span) -> list[float]:
     before, after, g, f, p, count = s.words
     surface = text[s.start : s.end]
-    near = text[max(0, s.start - 24) : s.start].lower()
+    name = s.kind == 4
+    near = text[max(0, s.start - 24) : s.start].lower() if not name or before == "of" else ""
     follow = text[s.end : s.end + 8]
-    digits = sum(c.isdigit() for c in surface)
+    # a name's tokens are letters; only one between strokes may hold other signs
+    digits = sum(map(str.isdigit, surface)) if not name or s.form == 15 else 0
+    shape = not name and ID_SHAPE.fullmatch(surface.replace("\u00a0", " ")) is not None
     title = before.strip(".") in TITLES
     return [
-        s.kind, s.form, len(surface), digits, float(bool(ID_SHAPE.fullmatch(surface.replace(" ", " ")))), float(surface[:1] in "+0("), float(before in CUES.get(s.kind, ())), float(before in AGAINST or (s.kind != 4 and bool(NOT_PERSONAL.search(near)))),
+        s.kind, s.form, len(surface), digits, float(shape), float(surface[:1] in "+0("), float(before in CUES.get(s.kind, ())), float(before in AGAINST or (s.kind != 4 and bool(NOT_PERSONAL.search(near)))),
         float(title), float(before in SHIPS), float(after in HOUSES), float(s.kind == 4 and bool(FIRM.match(text, s.end))), min(g, 20), min(f, 20), min(p, 20), count,
         float(surface[:1].isupper()), float(surface.isupper()), float(before in PLACE_CUES), float(follow[:2] in ("'s", "’s")), float(before == "of" and "firm" in near), float(bool(after) and after in ("who", "was", "sailed", "lost")), float(before in ("saint", "mount", "fort", "north", "south", "east", "west", "great", "little", "upper")),
     ]
