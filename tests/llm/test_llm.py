@@ -239,7 +239,18 @@ def test_personal(spark):
     assert personal.find_items(df.limit(0), found_by).count() == 0
 
 
-def test_every_street_has_its_mark():
+def test_planted_labels_are_known_by_construction():
+    lists = personal.Lists(np.zeros((4, personal.BUCKETS), np.uint8))
+    for w, kind in (("john", 0), ("mary", 0), ("tomkin", 1), ("barlow", 1), ("west", 1)):
+        lists.tables[kind, personal.bucket(w)] = 9
+    text = "Dear Mr. Tomkin, John Barlow came. Ring tel. (555) 555-1234. The card number is 123-45-6789. Then Mary Barlow left. "
+    rows = [r for n in range(60) for r in personal.planted(text, lists, [("John", "West"), ("Mary", "Tomkin")], ["Oldham"], np.random.default_rng(n))]
+    assert {(y, k) for _, y, k in rows} >= {(1, 1), (1, 2), (1, 4), (0, 4)}
+    found_by = personal.train([text] * 60, lists, [("John", "West"), ("Mary", "Tomkin")], ["Oldham"], report=(report := {}))
+    assert set(report) >= {"name", "phone"} and all(0.1 <= v[3] < 1 for v in report.values()) and found_by.least[4] == report["name"][3]
+
+
+def test_every_form_of_a_street_is_proposed():
     french = [f"{n}{w} de la Paix" for w in ("rue", "avenue", "quai", "cours") for n in ("12 ", "12b ", "12bis ", "12ter ", "14 b ", "12 bis, ", "12 ter ", "3bis,  ", "7, ")]
     german = ["Hauptstraße 5", "Lindenstrasse 7b", "Bahnhofstr. 9", "Rosengasse 1", "Marktplatz 3", "Am Hang 4", "In der Aue 12", "Zum Löwen 8a"]
     english = [f"12 Mill {t}" for t in personal.TYPES.split("|")] + [f"Mill {t} No. 4" for t in personal.TYPES.split("|")] + ["Flat 3, 12a Old Mill Road"]
@@ -247,5 +258,4 @@ def test_every_street_has_its_mark():
     lists = personal.Lists(np.zeros((4, personal.BUCKETS), np.uint8))
     for text in french + german + english + boxes:
         assert personal.STREET.search(text), text
-        assert personal.STREET_MARK.search(text), text
         assert any(s.kind == 3 for s in personal.propose(text, lists)), text
