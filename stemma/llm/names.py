@@ -1,11 +1,14 @@
 """Variant spellings of one person's name, entered under several ids.
 
-Candidates come from MinHash banding over padded q-grams of the name, with the year of birth as part of every
-band (equal years are required anyway). Rows and bands are taken from the collision curve 1 - (1 - s^r)^b so
-that pairs of the least accepted similarity are found with the wanted recall. Short forms are replaced by
-their formal ones before, initials are kept apart, and every reading of a name (parts swapped, a married
-woman's maiden name) is banded. Candidates are verified token by token with a Monge-Elkan similarity that
-knows initials and short forms, and by the location of birth; star clustering joins what is left.
+Candidates come from MinHash banding over padded q-grams of the surname, within one year and location of birth
+(both must be equal anyway). Rows and bands are taken from the collision curve 1 - (1 - s^r)^b so that pairs of the
+least accepted similarity are found with the wanted recall. Every reading of a name (parts swapped, a married woman's
+maiden name) is banded. Candidates are verified token by token with a Monge-Elkan similarity that knows initials and
+short forms; star clustering decides which of the verified links stand.
+
+Ids with equal entries are one entry until the end. The entries of one year and location, if there are at most
+CROWD of them, travel together once and are banded, verified and clustered where they meet. A larger crowd is sent
+band by band, so that only entries that share a band meet, and what shares a band is cut into cells of CELL entries.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.addresses import edits
-from stemma.plans.workspace import Workspace, cores, spread
+from stemma.plans.workspace import Workspace, cores
 
 Q = 2
 #: Least Jaccard similarity of the q-grams of two spellings of one name, and the recall wanted there.
@@ -37,8 +40,8 @@ COMMON_SHORT = {
 }
 MARRIED = {"m", "married", "verh", "ep"}
 PARTICLES = {"van", "von", "de", "der", "den", "du", "la", "le"}
-#: Rows of the table of short forms read at most: it is a table of settings.
-FORM_ROWS = 20_000
+#: Entries of one year and location that are compared in one place, and entries of a chunk of what shares a band.
+CROWD, CELL = 2_000, 500
 
 
 def tuned(similarity: float, recall: float, rows: int = 2) -> tuple[int, int]:
@@ -67,7 +70,7 @@ def stem(surname: str) -> str:
 class Forms:
     """Short forms of given names. What the table lacks is met by the likeness of beginnings."""
 
-    def __init__(self, pairs: list[tuple[str, str]]):
+    def __init__(self, pairs: list[tuple[str, str]] = ()):
         self.formal: dict[str, set[str]] = {}
         self.given: set[str] = set()
         for formal, short in [*pairs, *((f, s) for f, many in COMMON_SHORT.items() for s in many.split())]:
@@ -223,7 +226,8 @@ def same_name(a: Name, b: Name, forms: Forms) -> float:
 
 
 def score(a: list[Name], b: list[Name], forms: Forms) -> float:
-    return max((same_name(x, y, forms) for x in a for y in b), default=0.0)
+    """The best of any two readings, whichever is held against the other."""
+    return max((max(s, same_name(y, x, forms)) if (s := same_name(x, y, forms)) < 1 and len(x.given) == len(y.given) else s for x in a for y in b), default=0.0)
 
 
 def persons(people: DataFrame, families: DataFrame) -> DataFrame:
@@ -233,98 +237,255 @@ def persons(people: DataFrame, families: DataFrame) -> DataFrame:
     p = people.where("id is not null").select("id", F.col("given_name").alias("given"), "surname", F.when(year != "", year.cast("int")).alias("year"), F.col("birth_place").alias("place"), "sex")
     wives = families.where("wife_id is not null and husband_id is not null").select("wife_id", "husband_id")
     husbands = people.select(F.col("id").alias("husband_id"), F.col("surname").alias("other"))
-    others = wives.join(husbands, "husband_id").groupBy("wife_id").agg(F.collect_set("other").alias("others")).withColumnRenamed("wife_id", "id")
-    return p.where("year is not null and place is not null").join(others, "id", "left")
+    others = wives.join(husbands.hint("merge"), "husband_id").groupBy("wife_id").agg(F.sort_array(F.collect_set("other")).alias("others")).withColumnRenamed("wife_id", "id")
+    return p.where("year is not null and place is not null").join(others.hint("merge"), "id", "left")
 
 
-def same_person_pairs(persons_: DataFrame, name_forms: DataFrame, accept: float = 0.73, least_similar: float = LEAST_SIMILAR, recall: float = RECALL) -> DataFrame:
+class Bands:
+    """Band keys of surnames, remembered: a surname's bands are the same wherever it stands."""
+
+    def __init__(self, rows: int, bands: int, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        self.shape = bands, rows
+        self.a = rng.integers(1, (1 << 61) - 1, rows * bands, dtype=np.uint64) | np.uint64(1)
+        self.b = rng.integers(0, (1 << 61) - 1, rows * bands, dtype=np.uint64)
+        self.known: dict[str, np.ndarray] = {}
+
+    def of(self, text: str) -> np.ndarray:
+        """One number a band."""
+        import xxhash
+
+        got = self.known.get(text)
+        if got is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            h = np.array([xxhash.xxh3_64_intdigest(g) for g in sorted(qgrams(text))], np.uint64)
+            least = (h[:, None] * self.a + self.b).min(0).reshape(self.shape)
+            mix = np.uint64(0x9E3779B97F4A7C15)
+            key = np.arange(self.shape[0], dtype=np.uint64)
+            for r in range(self.shape[1]):
+                key = (key ^ least[:, r]) * mix
+                key ^= key >> np.uint64(29)
+            got = self.known[text] = key.view(np.int64)
+        return got
+
+
+ENTRY = "unit bigint, given string, surname string, others array<string>, sex string, ids bigint"
+
+
+class Entry:
+    __slots__ = ("unit", "sex", "ids", "readings", "stems")
+
+    def __init__(self, unit: int, given, surname, others, sex, ids):
+        self.unit, self.sex, self.ids = unit, sex, ids
+        self.readings = readings(given, surname, others)
+        # every surname of every reading; first names come as initials and short forms, too little to be banded
+        self.stems = {t for r in self.readings for sn in r.surnames if (t := stem(sn))}
+
+    def apart(self, other: "Entry") -> bool:
+        return self.sex in ("M", "F") and other.sex in ("M", "F") and self.sex != other.sex
+
+
+def met_in_bands(entries: list[Entry], bands: Bands) -> list[tuple[int, int]]:
+    """(i, j), i < j, of entries that share a band."""
+    owner = np.array([n for n, e in enumerate(entries) for _ in e.stems], np.int64)
+    if len(owner) < 2:
+        return []
+    keys = np.stack([bands.of(t) for e in entries for t in sorted(e.stems)])
+    if len(owner) <= 64:
+        i, j = np.nonzero((keys[:, None, :] == keys[None, :, :]).any(2))
+        i, j = owner[i], owner[j]
+    else:
+        flat, who = keys.ravel(), np.repeat(owner, keys.shape[1])
+        order = np.argsort(flat, kind="stable")
+        flat, who = flat[order], who[order]
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        many = np.diff(np.append(first, len(flat)))
+        left, right = [], []
+        for s, m in zip(first[many > 1].tolist(), many[many > 1].tolist()):
+            u = np.unique(who[s : s + m])
+            a, b = np.triu_indices(len(u), 1)
+            left.append(u[a])
+            right.append(u[b])
+        if not left:
+            return []
+        i, j = np.concatenate(left), np.concatenate(right)
+    pair = np.unique(i[i < j] * len(entries) + j[i < j])
+    return list(zip((pair // len(entries)).tolist(), (pair % len(entries)).tolist()))
+
+
+def star_cover(links: dict[tuple[int, int], float], spread_of) -> set[tuple[int, int]]:
+    """Pairs that lie in one star: by falling number of links (ties by spread_of), whoever is in no star yet becomes the
+    centre of one that holds all its neighbours."""
+    near: dict[int, set[int]] = {}
+    for i, j in links:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    marked: set[int] = set()
+    out: set[tuple[int, int]] = set()
+    for n in sorted(near, key=lambda n: (-len(near[n]), -spread_of(n))):
+        if n not in marked:
+            star = sorted({n} | near[n])
+            marked |= near[n] | {n}
+            out |= {(a, b) for k, a in enumerate(star) for b in star[k + 1 :]}
+    return out
+
+
+def _spread(unit: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(int(unit).to_bytes(8, "little", signed=True), seed=42) >> 1
+
+
+def same_person_pairs(persons_: DataFrame, name_forms: DataFrame, accept: float = 0.73, least_similar: float = LEAST_SIMILAR, recall: float = RECALL, crowd: int = CROWD, cell: int = CELL) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of persons(id, given, surname, year, location, sex, others).
 
-    Two people are one if some reading of their names is a spelling of one name (score at least ``accept``),
-    the year and the location of birth are equal and the sexes, where both are M or F, do not differ. Rows
-    without year, location or any letter in the name have no partner; a repeated id counts once; an empty
-    table gives no rows.
+    Two people are one if some reading of their names is a spelling of one name (score at least ``accept``) or both are
+    spellings of a third one's in a star, the year and the location of birth are equal and the sexes, where both are
+    M or F, do not differ. Rows without year, location or any letter in the name have no partner; a repeated id counts
+    once; an empty table gives no rows. name_forms is a table of settings: short forms in common use.
     """
     spark = persons_.sparkSession
     ws = Workspace(spark, "names")
-    pairs = [(r[0], r[1]) for r in name_forms.where("formal is not null and short_form is not null").select("formal", "short_form").limit(FORM_ROWS).collect()]
-    rows, bands = tuned(least_similar, recall)
-    rng = np.random.default_rng(5)
-    a = rng.integers(1, (1 << 61) - 1, rows * bands, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, (1 << 61) - 1, rows * bands, dtype=np.uint64)
+    pairs = [(r[0], r[1]) for r in name_forms.where("formal is not null and short_form is not null").select("formal", "short_form").distinct().collect()]
+    n_rows, n_bands = tuned(least_similar, recall)
     people = persons_.where("id is not null and year is not null and location is not null").dropDuplicates(["id"])
-    people = ws.save(people.select("id", "given", "surname", "year", "location", "sex", F.coalesce("others", F.array().cast("array<string>")).alias("others")), "people")
+    fields = ("given", "surname", "others", "year", "location", "sex")
+    whole = people.select("id", "given", "surname", "year", "location", "sex", F.coalesce("others", F.array().cast("array<string>")).alias("others"))
+    # two entries are one if all their fields are equal, null apart from empty
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string") if c != "others" else F.array_join(c, "|")), F.lit("-")) for c in fields]
+    whole = ws.save(whole.withColumn("unit", F.xxhash64(*marked)), "people")
+    entries = whole.groupBy("unit").agg(*[F.first(c).alias(c) for c in fields], F.count("*").alias("ids"))
+    entries = ws.save(entries.withColumn("place", F.xxhash64("location", "year")).drop("location", "year"), "entries")
+    sizes = entries.groupBy("place").agg(F.count("*").alias("n"), F.sum("ids").alias("all")).where("all > 1").select("place", "n")
+    met = entries.join(sizes.hint("merge"), "place")
+    parts = max(cores(spark), whole.count() // 20_000)
+    form = "link boolean, unit_a bigint, unit_b bigint, score double"
+
+    def links_of(group: list[Entry], met: list[tuple[int, int]], forms: Forms) -> dict[tuple[int, int], float]:
+        scored = ((i, j, score(group[i].readings, group[j].readings, forms)) for i, j in met if not group[i].apart(group[j]))
+        return {(i, j): s for i, j, s in scored if s >= accept}
+
+    def rows(found: list[tuple[bool, int, int, float]]):
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(4)], names=["link", "unit_a", "unit_b", "score"])
+
+    def together(batches):
+        """Whole groups of one year and location: pairs of stars, and entries of several ids with themselves."""
+        forms, bands = Forms(pairs), Bands(n_rows, n_bands)
+        for group in _groups(batches, "place"):
+            group = [Entry(*r[1:]) for r in group]
+            found = [(False, e.unit, e.unit, 1.0) for e in group if e.ids > 1 and score(e.readings, e.readings, forms) >= accept]
+            links = links_of(group, met_in_bands(group, bands), forms)
+            found += [(False, group[i].unit, group[j].unit, 1.0) for i, j in star_cover(links, lambda n: _spread(group[n].unit)) if not group[i].apart(group[j])]
+            if found:
+                yield found
+
+    def batched(of):
+        def run(batches):
+            held = []
+            for found in of(batches):
+                held += found
+                if len(held) > 20_000:
+                    yield rows(held)
+                    held = []
+            if held:
+                yield rows(held)
+
+        return run
+
+    columns = ["place", "unit", "given", "surname", "others", "sex", "ids"]
+    small = met.where(F.col("n") <= crowd).select(*columns).repartition(parts, "place").sortWithinPartitions("place")
+    found = ws.save(small.mapInArrow(batched(together), form), "found")
+    large = met.where(F.col("n") > crowd).select(*columns)
+    if not large.isEmpty():
+        found = found.unionByName(_crowded(ws, large, parts, n_rows, n_bands, cell, links_of, pairs, accept, batched, form))
+    same = found.select("unit_a", "unit_b").distinct()
+    one = whole.select(F.col("unit").alias("unit_a"), F.col("id").alias("x"))
+    two = whole.select(F.col("unit").alias("unit_b"), F.col("id").alias("y"))
+    across = same.join(one.hint("merge"), "unit_a").join(two.hint("merge"), "unit_b").where((F.col("x") < F.col("y")) | ((F.col("unit_a") != F.col("unit_b")) & (F.col("x") != F.col("y"))))
+    return across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def _groups(batches, key: str):
+    """Rows (as tuples) of sorted batches, key by key."""
+    held, last = [], None
+    for batch in batches:
+        keys = batch.column(key).to_pylist() if isinstance(key, str) else None
+        for k, row in zip(keys, zip(*[c.to_pylist() for c in batch.columns])):
+            if k != last and held:
+                yield held
+                held = []
+            last = k
+            held.append(row)
+    if held:
+        yield held
+
+
+def _crowded(ws: Workspace, large: DataFrame, parts: int, n_rows: int, n_bands: int, cell: int, links_of, pairs, accept: float, batched, form: str) -> DataFrame:
+    """As the small groups, for groups too large for one place: sent by bands, cells of what shares a band compared apart,
+    and stars found in rounds over all links."""
 
     def band(batches):
-        import xxhash
-
-        known: dict[str, int] = {}
-
-        def hashed(grams):
-            out = []
-            for g in grams:
-                h = known.get(g)
-                if h is None:
-                    h = known[g] = xxhash.xxh3_64_intdigest(g.encode())
-                out.append(h)
-            return np.array(out, np.uint64)
-
+        forms, bands = Forms(pairs), Bands(n_rows, n_bands)
         for batch in batches:
             who, keys = [], []
-            cols = [batch.column(c).to_pylist() for c in ("given", "surname", "year", "others")]
-            for n, (given, surname, year, other) in enumerate(zip(*cols)):
-                mine: set[int] = set()
-                # every surname of every reading; first names come as initials and short forms, too little to be banded
-                for text in {stem(sn) for r in readings(given, surname, other) for sn in r.surnames}:
-                    if text:
-                        h = hashed(sorted(qgrams(text)))
-                        m = (h[:, None] * a[None, :] + b[None, :]).min(0).reshape(bands, rows)
-                        mine |= {hash((k, year, *m[k].tolist())) for k in range(bands)}
+            for n, (place, *r) in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
+                e = Entry(*r)
+                if e.ids > 1 and score(e.readings, e.readings, forms) >= accept:
+                    who.append(n)
+                    keys.append(e.unit)
+                mine = {hash((place, k)) for t in e.stems for k in bands.of(t).tolist()}
                 who += [n] * len(mine)
                 keys += list(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *batch.select(["id", "location"]).take(pa.array(who, pa.int64())).columns], names=["key", "id", "location"])
-
-    work = spread(people, min(cores(spark), 2 + people.count() // 5000))
-    # the location of birth must be equal too, so it is part of what meets; a name of a third of a year's people stays apart by it
-    banded = work.select("id", "given", "surname", "year", "others", F.xxhash64("location").alias("location")).mapInArrow(band, "key bigint, id string, location bigint")
-    left = banded.select("key", "location", F.col("id").alias("id_a"))
-    right = banded.select("key", "location", F.col("id").alias("id_b"))
-    met = ws.save(left.join(right, ["key", "location"]).where("id_a < id_b").select("id_a", "id_b").distinct(), "met")
-    one = people.select(F.col("id").alias("id_a"), F.col("given").alias("ga"), F.col("surname").alias("sa"), F.col("sex").alias("xa"), F.col("others").alias("oa"))
-    two = people.select(F.col("id").alias("id_b"), F.col("given").alias("gb"), F.col("surname").alias("sb"), F.col("sex").alias("xb"), F.col("others").alias("ob"))
-    apart = F.col("xa").isin("M", "F") & F.col("xb").isin("M", "F") & (F.col("xa") != F.col("xb"))
-    # people are many and wide: never a table to broadcast, however well it is compressed
-    both = met.join(one.hint("merge"), "id_a").join(two.hint("merge"), "id_b").where(~F.coalesce(apart, F.lit(False)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *batch.select(batch.schema.names[1:]).take(pa.array(who, pa.int64())).columns], names=["key", *batch.schema.names[1:]])
+
+    banded = ws.save(large.repartition(parts).mapInArrow(band, f"key bigint, {ENTRY}"), "banded")
+    alone = banded.where("key = unit").select(F.lit(False).alias("link"), F.col("unit").alias("unit_a"), F.col("unit").alias("unit_b"), F.lit(1.0).alias("score"))
+    many = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / F.lit(cell)).cast("int").alias("chunks"))
+    cells = banded.join(many.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("unit"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    cells = cells.withColumn("cell", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("across", F.col("chunks") > 1)
+    cells = cells.select("cell", "unit", "given", "surname", "others", "sex", "ids", "mine")
 
-    def verify(batches):
+    def compare(batches):
         forms = Forms(pairs)
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("ga", "sa", "oa", "gb", "sb", "ob")]
-            s = [score(readings(g, n, o), readings(h, m, p), forms) for g, n, o, h, m, p in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([batch.column("id_a"), batch.column("id_b"), pa.array(s, pa.float64())], names=["id_a", "id_b", "score"])
-
-    scored = both.select("id_a", "id_b", "ga", "sa", "oa", "gb", "sb", "ob").mapInArrow(verify, "id_a string, id_b string, score double")
-    links = ws.save(scored.where(F.col("score") >= accept), "links")
-    # members of a star who never met are held to the rule on the sexes too
-    joined = stars(ws, links)
-    sex = lambda n: people.select(F.col("id").alias(f"id_{n}"), F.col("sex").alias(f"x{n}"))
-    return joined.join(sex("a").hint("merge"), "id_a").join(sex("b").hint("merge"), "id_b").where(~F.coalesce(apart, F.lit(False))).select("id_a", "id_b")
-
-
-def stars(ws: Workspace, links: DataFrame) -> DataFrame:
-    """Star clustering: the link-richest spelling of a neighbourhood is a centre, others join their best centre;
-    all members of a star are one person, and accepted links stand by themselves too."""
-    ends = links.select("id_a", "id_b", "score").unionByName(links.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "score"))
-    ends = ws.save(ends, "ends")
-    degree = ends.groupBy("id_a").agg(F.count("*").alias("n"))
-    strength = degree.select(F.col("id_a").alias("id_b"), F.col("n").alias("m"))
-    near = ends.join(degree, "id_a").join(strength, "id_b")
-    # a spelling is a centre if no neighbour is richer in links (ties: the smaller id)
-    top = near.groupBy("id_a").agg(F.max(F.struct("m", F.expr("-xxhash64(id_b)").alias("t"))).alias("best"), F.first("n").alias("n"))
-    centre = top.where((F.col("n") > F.col("best.m")) | ((F.col("n") == F.col("best.m")) & (F.expr("-xxhash64(id_a)") > F.col("best.t")))).select(F.col("id_a").alias("centre"))
-    centre = ws.save(centre, "centre")
-    joins = ends.join(centre, ends.id_b == centre.centre).groupBy("id_a").agg(F.max_by("centre", F.struct("score", "centre")).alias("centre")).withColumnRenamed("id_a", "id")
-    star = ws.save(joins.unionByName(centre.select(F.col("centre").alias("id"), "centre")), "star")
-    x = star.select("centre", F.col("id").alias("id_a"))
-    y = star.select("centre", F.col("id").alias("id_b"))
-    return x.join(y, "centre").where("id_a < id_b").select("id_a", "id_b").unionByName(links.select("id_a", "id_b")).distinct()
+        for rows in _groups(batches, "cell"):
+            group, chunk = [Entry(*r[1:7]) for r in rows], [r[7] for r in rows]
+            one = len(set(chunk)) == 1
+            # two chunks are compared across, each with itself in a cell of its own
+            met = [(i, j) for i in range(len(group)) for j in range(i + 1, len(group)) if one or chunk[i] != chunk[j]]
+            yield [(True, *sorted((group[i].unit, group[j].unit)), s) for (i, j), s in links_of(group, met, forms).items() if group[i].unit != group[j].unit]
+
+    linked = cells.repartition(parts * 4, "cell").sortWithinPartitions("cell").mapInArrow(batched(compare), form)
+    links = ws.save(linked.select("unit_a", "unit_b").distinct(), "links")
+    covered = stars(ws, links)
+    sex = lambda n: large.select(F.col("unit").alias(f"unit_{n}"), F.col("sex").alias(f"x{n}"))
+    apart = F.col("xa").isin("M", "F") & F.col("xb").isin("M", "F") & (F.col("xa") != F.col("xb"))
+    kept = covered.join(sex("a").hint("merge"), "unit_a").join(sex("b").hint("merge"), "unit_b").where(~F.coalesce(apart, F.lit(False)))
+    return alone.unionByName(kept.select(F.lit(False).alias("link"), "unit_a", "unit_b", F.lit(1.0).alias("score")))
+
+
+def stars(ws: Workspace, links: DataFrame, most: int = 200) -> DataFrame:
+    """(unit_a, unit_b) that lie in one star, as star_cover, in rounds: whoever is in no star yet and has more links than
+    all such neighbours (ties by hash) becomes a centre; its star holds all its neighbours."""
+    ends = ws.save(links.select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b")).unionByName(links.select(F.col("unit_b").alias("a"), F.col("unit_a").alias("b"))), "ends")
+    weight = F.struct(F.count("*").alias("n"), F.expr("shiftrightunsigned(xxhash64(a), 1)").alias("t"))
+    free = ws.save(ends.groupBy("a").agg(weight.alias("w")), "free0")
+    centres = []
+    for k in range(most):
+        if free.isEmpty():
+            break
+        near = free.select(F.col("a").alias("b"), F.col("w").alias("v"))
+        best = ends.join(free, "a").join(near, "b").groupBy("a").agg(F.max("v").alias("v"))
+        centre = ws.save(free.join(best, "a", "left").where("v is null or w > v").select("a"), f"centre{k}")
+        centres.append(centre)
+        taken = centre.unionByName(ends.join(centre, "a", "left_semi").select(F.col("b").alias("a"))).distinct()
+        free = ws.save(free.join(taken, "a", "left_anti"), f"free{k + 1}")
+    if not centres:
+        return links.select("unit_a", "unit_b")
+    every = centres[0]
+    for c in centres[1:]:
+        every = every.unionByName(c)
+    star = ws.save(ends.join(every, "a", "left_semi").select(F.col("a").alias("centre"), F.col("b").alias("u")).unionByName(every.select(F.col("a").alias("centre"), F.col("a").alias("u"))), "star")
+    x, y = star.select("centre", F.col("u").alias("unit_a")), star.select("centre", F.col("u").alias("unit_b"))
+    return x.join(y, "centre").where("unit_a < unit_b").select("unit_a", "unit_b").distinct()

@@ -29,7 +29,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     people = names.persons(tables.individuals(spark, folder), tables.families(spark, folder))
     where = addresses.locations(tables.read(spark, folder, "places")).withColumnRenamed("id", "place_id")
-    located = people.withColumn("place_id", exprs.place_id(F.col("place"))).join(where, "place_id")
+    located = people.withColumn("place_id", exprs.place_id(F.col("place"))).join(where.hint("merge"), "place_id")
     return names.same_person_pairs(located, tables.read(spark, folder, "name_forms"))
 
 

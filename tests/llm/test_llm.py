@@ -164,11 +164,35 @@ def test_names(spark):
     ]
     df = spark.createDataFrame(p + p[:1] + [(None, "William", "Ockfield", 1850, "L1", "M", None), ("14", "Mary", "Pell", None, "L3", "F", None)], "id string, given string, surname string, year int, location string, sex string, others array<string>").withColumn("key", F.lit(1))
     forms = spark.createDataFrame([("William", "Bill"), (None, "X")], "formal string, short_form string")
-    got = {(r.id_a, r.id_b) for r in names.same_person_pairs(df, forms).collect()}
-    assert got == {("1", "2"), ("1", "3"), ("1", "4"), ("2", "3"), ("2", "4"), ("3", "4"), ("3", "8"), ("10", "9"), ("10", "11"), ("11", "9")}
+    for crowd in (2000, 2):
+        got = [(r.id_a, r.id_b) for r in names.same_person_pairs(df, forms, crowd=crowd, cell=2).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {("1", "2"), ("1", "3"), ("1", "4"), ("2", "3"), ("2", "4"), ("3", "4"), ("3", "8"), ("10", "9"), ("10", "11"), ("11", "9")}
     assert names.same_person_pairs(df.limit(0), forms).count() == 0
 
 
+def test_names_of_a_crowd_as_of_small_groups(spark):
+    rng = random.Random(4)
+    given, family = ["William James", "Wm. J.", "Bill", "Mary", "Polly", "Walter", "M.", "James", "Jas. William"], ["Ockfield", "Ockfeild", "Ockfields", "Pell", "Pelle", "Oakfield"]
+    rows = [(str(k), rng.choice(given), rng.choice(family), 1850, "L1", rng.choice(["M", "F", None]), None) for k in range(120)]
+    df = spark.createDataFrame(rows, "id string, given string, surname string, year int, location string, sex string, others array<string>")
+    forms = spark.createDataFrame([("William", "Bill")], "formal string, short_form string")
+    together, apart = ({(r.id_a, r.id_b) for r in names.same_person_pairs(df, forms, crowd=c, cell=7).collect()} for c in (2000, 5))
+    assert together == apart and len(together) > 100
+
+
+def test_score_is_symmetric():
+    forms = names.Forms([])
+    a, b = names.readings("P Caroline", "Wynttabeck"), names.readings("Phoebe Caroline", "Wyntabeck")
+    assert names.score(a, b, forms) == names.score(b, a, forms) > 0.73
+
+
+def test_stars_of_a_chain():
+    # the links of b and c are most; d is in no star until it makes its own
+    chain = {(0, 1): 1.0, (1, 2): 1.0, (2, 3): 1.0, (3, 4): 1.0, (1, 5): 1.0}
+    assert names.star_cover(chain, lambda n: n) == {(0, 1), (0, 2), (0, 5), (1, 2), (1, 5), (2, 5), (2, 3), (2, 4), (3, 4)}
+
+
 def test_curve():
     rows, bands = names.tuned(0.34, 0.995)
     assert 1 - (1 - 0.34**rows) ** bands >= 0.995 > 1 - (1 - 0.34**rows) ** (bands - 1)
