@@ -12,7 +12,14 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+#: Stored tables are compressed; without a factor Spark takes a file's size for that of its rows and plans broadcasts
+#: many times larger than the bound that is set.
+COMPRESSION, FACTOR = "spark.sql.sources.fileCompressionFactor", "10.0"
+
+
 def ship(spark: SparkSession) -> None:
+    if float(spark.conf.get(COMPRESSION, "1.0")) == 1.0:
+        spark.conf.set(COMPRESSION, FACTOR)
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
