@@ -8,7 +8,7 @@ a missing component is no objection, a different one is. Each form points to its
 or more frequent forms, and what is reached from form to form is the location.
 
 Names of counties and regions are learned from the data: components that carry a county's mark, and
-components far more frequent than any place; both lists are bounded and only help the reading.
+components far more frequent than any place; both lists are bounded by shares of the rows and only help the reading.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.plans.workspace import Workspace, cores, spread
+from stemma.plans.workspace import Workspace, cores
 
 #: Types of streets and sites and their usual abbreviations.
 STREETS = {
@@ -35,11 +36,18 @@ SITES = {
 }
 PREFIXES = {"saint": "st ste snt", "mount": "mt", "fort": "ft", "north": "n nth", "south": "s sth", "east": "e", "west": "w", "upper": "up upr", "lower": "lwr low", "great": "gt grt", "little": "lt ltl", "new": "", "old": ""}
 COUNTY = {"county", "co", "cnty", "cty"}
-#: Rows of the learned lists at most; spellings rarer than this many rows are not learned as counties.
-LIST_ROWS, COUNTY_ROWS = 2000, 2
+#: A county's name stands in at least COUNTY_ROWS rows and this share of all: no more than 1 / COUNTY_SHARE names have
+#: it for each component of an address, whatever the size of the table.
+COUNTY_ROWS, COUNTY_SHARE = 2, 1e-5
 #: A region is a component in at least this share of the rows.
 REGION_SHARE = 0.012
-WINDOW = 24
+#: Forms after a form that it is compared with in a pass. A window whose last quarter holds a match goes on by another
+#: window, up to HALO forms into the next run.
+WINDOW, HALO = 24, 240
+#: A spelling is established if it has at least ESTABLISHED_ROWS rows and ESTABLISHED_SHARE of all.
+ESTABLISHED_ROWS, ESTABLISHED_SHARE = 4, 1e-4
+#: Keyed forms of a run, about.
+RUN_ROWS = 1500
 
 
 def _flip(table: dict[str, str]) -> dict[str, str]:
@@ -257,8 +265,9 @@ def same_town(a: str, b: str, extra: int = 0) -> int | None:
     return n if n <= min(allowed(len(ta)), allowed(len(tb))) + extra else None
 
 
-def agree(a: dict, b: dict) -> float | None:
-    """A score for two readings of one location (higher is better), or None if they denote different ones."""
+def agree(a: dict, b: dict, least: float = ESTABLISHED_ROWS) -> float | None:
+    """A score for two readings of one location (higher is better), or None if they denote different ones; of two
+    spellings that both have ``least`` rows neither is a typo of the other unless it is far rarer."""
     if a["kind"] != b["kind"] or a["number"] != b["number"]:
         return None
     if a["kind"] != "town" and a["type"] and b["type"] and a["type"] != b["type"]:
@@ -270,7 +279,7 @@ def agree(a: dict, b: dict) -> float | None:
     extra = 1 if close else 0
     cost = 0.0
     if a["name"] != b["name"]:
-        if established(a["name_rows"], b["name_rows"], 10):
+        if established(a["name_rows"], b["name_rows"], 10, least):
             return None
         short = min(len(a["name"]), len(b["name"]))
         most = (0 if short < 3 else 1 if short < 6 else 2) + (extra if short > 4 else 0)
@@ -297,7 +306,7 @@ def agree(a: dict, b: dict) -> float | None:
         n = same_town(a["town"], b["town"], extra)
         if n is None:
             return None
-        if n and not close and established(a["town_rows"], b["town_rows"], 20):
+        if n and not close and established(a["town_rows"], b["town_rows"], 20, least):
             return None
         # two edits need the county to agree, or the coordinates
         if n >= 2 and not close and not (a["county"] and a["county"] == b["county"]):
@@ -307,9 +316,9 @@ def agree(a: dict, b: dict) -> float | None:
     return 10.0 - cost + 0.5 * known + (1.0 if close else 0.0)
 
 
-def established(m: int, n: int, times: int) -> bool:
+def established(m: int, n: int, times: int, least: float) -> bool:
     """Whether two spellings are both too frequent for one to be a typo of the other."""
-    return min(m, n) >= 4 and min(m, n) * times >= max(m, n)
+    return min(m, n) >= least and min(m, n) * times >= max(m, n)
 
 
 def _km(a: dict, b: dict) -> float | None:
@@ -371,7 +380,9 @@ def locations(places: DataFrame, window: int = WINDOW) -> DataFrame:
 
     counted = rows.select("original").mapInArrow(tally, "name string, kind string").groupBy("kind", "name").agg(F.count("*").alias("n"))
     total = max(1, rows.count())
-    learned = counted.where(((F.col("kind") == "county") & (F.col("n") >= COUNTY_ROWS)) | ((F.col("kind") == "other") & (F.col("n") >= REGION_SHARE * total) & (F.col("n") >= 3))).orderBy(F.desc("n"), "name").limit(LIST_ROWS).collect()
+    least_established = max(ESTABLISHED_ROWS, ESTABLISHED_SHARE * total)
+    # both thresholds are shares of the rows, which bounds how many names can reach them
+    learned = counted.where(((F.col("kind") == "county") & (F.col("n") >= max(COUNTY_ROWS, COUNTY_SHARE * total))) | ((F.col("kind") == "other") & (F.col("n") >= max(3, REGION_SHARE * total)))).collect()
     county_rows = {r["name"]: r["n"] for r in learned if r["kind"] == "county"}
     # a spelling close to a far more frequent one is a typo of it
     counties: list[str] = []
@@ -389,7 +400,7 @@ def locations(places: DataFrame, window: int = WINDOW) -> DataFrame:
             cols = [pa.array([r[k] for r in out], pa.string()) for k in range(7)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *cols], names=["id", "lat", "lon", "kind", "number", "name", "type", "town", "county", "regions"])
 
-    read = spread(rows, min(cores(spark), 1 + total // 2000)).mapInArrow(parse, "id string, lat double, lon double, kind string, number string, name string, type string, town string, county string, regions string")
+    read = rows.repartition(max(1, min(cores(spark), total // 2000), total // 50_000)).mapInArrow(parse, "id string, lat double, lon double, kind string, number string, name string, type string, town string, county string, regions string")
     named = ("kind", "number", "name", "type", "town", "county", "regions")
     read = ws.save(read.withColumn("form", F.md5(F.concat_ws("|", *named, F.when((F.col("town") == "") | (F.col("county") == ""), F.concat(F.round("lat", 0), F.lit("/"), F.round("lon", 0)))))), "read")
     forms = read.groupBy("form", *named).agg(F.expr("percentile_approx(lat, 0.5)").alias("lat"), F.expr("percentile_approx(lon, 0.5)").alias("lon"), F.count("*").alias("rows"))
@@ -407,7 +418,7 @@ def locations(places: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for k in ks for x in k], pa.string()), *batch.take(pa.array(at, pa.int64())).columns], names=["key", *batch.schema.names])
 
     keyed = forms.where("kind <> 'none'").mapInArrow(passes, f"key string, {FORM}")
-    parts = max(1, min(4 * cores(spark), total // 1500))
+    parts = max(1, total // RUN_ROWS)
     runs = keyed.repartitionByRange(parts, "key", "form").sortWithinPartitions("key", "form").withColumn("part", F.spark_partition_id())
 
     def number(batches):
@@ -418,23 +429,31 @@ def locations(places: DataFrame, window: int = WINDOW) -> DataFrame:
 
     runs = ws.save(runs.mapInArrow(number, f"key string, {FORM}, part int, nth bigint"), "runs")
     # a run also sees the first rows of the next one, so that no window ends at a border
-    runs = runs.withColumn("of", F.col("part")).unionByName(runs.where(F.col("nth") < window).withColumn("of", F.col("part") - 1).where("of >= 0"))
+    runs = runs.withColumn("of", F.col("part")).unionByName(runs.where(F.col("nth") < max(window, HALO)).withColumn("of", F.col("part") - 1).where("of >= 0"))
 
     def compare(table):
-        rows_ = sorted(table.to_pylist(), key=lambda r: (r["key"], r["form"]))
+        table = table.take(pa.array(np.lexsort((_codes(table, "form"), _codes(table, "key")))))
+        near = possible(table, window)
+        rows_ = table.select([c for c in table.column_names if c not in ("key", "nth", "of")]).to_pylist()
+        own = [r["part"] for r in rows_]
+        of = table.column("of")[0].as_py()
         a_, b_, s_ = [], [], []
         for n, a in enumerate(rows_):
-            if a["part"] != a["of"]:
+            if own[n] != of:
                 continue
-            for b in rows_[n + 1 : n + 1 + window]:
-                if a["kind"] != b["kind"] or a["number"] != b["number"] or b["key"][0] != a["key"][0]:
-                    continue
-                score = agree(a, b)
-                if score is not None:
-                    x, y = (a, b) if rank(a) < rank(b) else (b, a)
-                    a_.append(x["form"])
-                    b_.append(y["form"])
-                    s_.append(score + 0.01 * min(y["rows"], 50))
+            at, end = n + 1, n + 1 + window
+            while at < min(end, len(rows_)):
+                last = -1
+                for m in near(n, at, min(end, len(rows_))):
+                    b = rows_[m]
+                    score = agree(a, b, least_established)
+                    if score is not None:
+                        last = m
+                        x, y = (a, b) if rank(a) < rank(b) else (b, a)
+                        a_.append(x["form"])
+                        b_.append(y["form"])
+                        s_.append(score + 0.01 * min(y["rows"], 50))
+                at, end = end, end + window if last >= end - window // 4 else end
         return pa.table({"form": pa.array(a_, pa.string()), "up": pa.array(b_, pa.string()), "score": pa.array(s_, pa.float64())})
 
     links = runs.groupBy("of").applyInArrow(compare, "form string, up string, score double")
@@ -451,6 +470,45 @@ def locations(places: DataFrame, window: int = WINDOW) -> DataFrame:
     return read.select("id", "form").join(tree, "form").select("id", F.col("up").alias("location"))
 
 
+def _codes(table: pa.Table, column: str) -> np.ndarray:
+    """Ranks of a text column's values."""
+    names, codes = np.unique(table.column(column).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    return codes
+
+
+def possible(table: pa.Table, window: int):
+    """near(n, start, end): the rows from start to end that could agree with row n: equal in pass, kind and number, not of
+    different types, not apart in place. The first window of every row is worked out for all rows at once."""
+    first = pa.table({"p": pa.compute.utf8_slice_codeunits(table.column("key"), 0, 1)})
+    same = (_codes(first, "p") * (1 << 40)) + _codes(table, "kind") * (1 << 36) + _codes(table, "number")
+    kind = table.column("type").to_numpy(zero_copy_only=False).astype(str)
+    blank, kind = kind == "", _codes(table, "type")
+    lat, lon = (np.radians(table.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in ("lat", "lon"))
+
+    def ok(i, j):
+        good = (same[i] == same[j]) & ((kind[i] == kind[j]) | blank[i] | blank[j])
+        far = np.sin((lat[j] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lon[j] - lon[i]) / 2) ** 2
+        # somewhat beyond the bound that decides; not a number where a coordinate is missing
+        return good & ~(far > np.sin(4.01 / 12742.0176) ** 2)
+
+    size = len(same)
+    steps = np.zeros((size, window), bool)
+    for d in range(1, window + 1):
+        n = np.arange(max(0, size - d))
+        steps[n, d - 1] = ok(n, n + d)
+    ahead = {}
+    for n, d in zip(*(x.tolist() for x in np.nonzero(steps))):
+        ahead.setdefault(n, []).append(n + 1 + d)
+
+    def near(n: int, start: int, end: int):
+        if start == n + 1:
+            return ahead.get(n, ())
+        m = np.arange(start, end)
+        return m[ok(np.full(len(m), n), m)].tolist()
+
+    return near
+
+
 def rank(r: dict) -> tuple:
     """Fuller forms stand above lesser ones, then the more frequent."""
     return (bool(r["town"]) + bool(r["county"]), r["rows"], bool(r["regions"]), bool(r["type"]), r["form"])

@@ -149,6 +149,19 @@ def test_addresses(spark):
     assert addresses.same_location_pairs(df.limit(0)).count() == 0
 
 
+def test_a_window_goes_on_where_matches_do(spark):
+    # forty spellings of one house stand side by side in every pass; a window of four alone would part the first from the last
+    rows = [(f"x{k:02}", f"12 Mill Street, Oldham, Kent{chr(97 + k % 26)}{chr(97 + k // 26)} County, Westria, Kingdom of Sarn", None, None) for k in range(40)]
+    table = pa.table({"form": [str(k) for k in range(60)], "key": ["0|a"] * 60, "kind": ["house"] * 60, "number": ["12"] * 50 + ["13"] * 10, "type": ["street", ""] * 30, "lat": [10.0] * 30 + [None] * 30, "lon": [10.0] * 10 + [20.0] * 20 + [None] * 30})
+    near = addresses.possible(table, 5)
+    for n in (0, 9, 12, 48):
+        want = [m for m in range(n + 1, 60) if table["number"][m] == table["number"][n] and not (n < 10 and 10 <= m < 30)]
+        assert list(near(n, n + 1, n + 6)) == [m for m in want if m < n + 6]
+        assert near(n, n + 6, 60) == [m for m in want if m >= n + 6]
+    df = spark.createDataFrame(rows, "id string, original string, latitude double, longitude double")
+    assert addresses.same_location_pairs(df, window=4).count() == 40 * 39 // 2
+
+
 def test_edits():
     assert addresses.edits("street", "stereet", 2) == 1 and addresses.edits("ab", "ba", 2) == 1 and addresses.edits("kitten", "sitting", 2) == 3
 
