@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stemma.llm import addresses, names, overlap, packing, personal, tokens, vectors
 from stemma.functions import exprs
 from stemma.plans import tables
+from stemma.plans.workspace import Workspace
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +40,8 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     docs = tokens.token_counts(tables.read(spark, folder, "documents").select("doc_id", "lang", "text"))
+    # counted once, however often the numbers are read
+    docs = Workspace(spark, "packing").save(docs, "counts")
     groups = F.explode(F.array(F.struct(F.lit("lang").alias("scope"), F.col("lang").alias("lang")), F.struct(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("lang"))))
     items = docs.select(F.col("doc_id").alias("item"), F.col("n_tokens").alias("size"), groups.alias("group"))
     limits = tables.read(spark, folder, "pack_limits").select("limit_id", F.col("capacity_tokens").alias("capacity"))

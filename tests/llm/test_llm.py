@@ -254,6 +254,18 @@ def test_packing(spark):
     assert all(parts[lim, i] == s for lim in (1, 2) for i, s in total.items()) and set(i for _, i in parts) == set(total)
     assert all(r.part == 0 for r in rows if total[r.item] <= r.capacity)
     assert packing.pack(df.limit(0), limits).count() == 0
+    told = packing.pack(df, limits, told=True)
+    assert told.where("by_class").count() > 0.9 * told.count()
+
+
+def test_containers_are_full_whatever_the_sizes():
+    rng = np.random.default_rng(3)
+    for capacity in (1, 7, 512, 8192):
+        size = np.minimum(capacity, rng.lognormal(5, 1.2, 20_000).astype(np.int64) + 1)
+        nth, _ = packing.containers(size, capacity)
+        used = np.bincount(nth, size)
+        assert used.max() <= capacity and used.min() > 0 and used.sum() >= 0.97 * min(len(used) * capacity, used.sum() + capacity)
+    assert len(np.unique(packing.containers(np.array([5]), 5)[0])) == 1
 
 
 # --- personal information --------------------------------------------------------------------------------------------
