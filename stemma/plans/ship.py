@@ -14,7 +14,7 @@ _sent: set[str] = set()
 
 #: Stored tables are compressed; without a factor Spark takes a file's size for that of its rows and plans broadcasts
 #: many times larger than the bound that is set.
-COMPRESSION, FACTOR = "spark.sql.sources.fileCompressionFactor", "10.0"
+COMPRESSION, FACTOR = "spark.sql.sources.fileCompressionFactor", "4.0"
 
 
 def ship(spark: SparkSession) -> None:
