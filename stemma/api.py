@@ -70,9 +70,10 @@ class Genealogy:
         root = self.get_individual(id_)
         if root is None or generations < 0:
             return {}
-        names = {r["id"]: r for r in self._rows(self.tree.names.join(graph.paths_up(self.tree, id_, generations).select("ancestor_id").distinct(), F.col("id") == F.col("ancestor_id"), "left_semi"))}
+        ways = sorted(self._rows(graph.paths_up(self.tree, id_, generations)), key=lambda r: r["generation"])
+        names = {r["id"]: r for r in self._rows(self.tree.people(sorted({r["ancestor_id"] for r in ways}) or [id_]).select("id", "name", "birth_date", "death_date", "ord"))}
         at = {"": dict(root)}
-        for r in sorted(self._rows(graph.paths_up(self.tree, id_, generations)), key=lambda r: r["generation"]):
+        for r in ways:
             up, _, role = r["path"].rpartition("/")
             at[r["path"]] = at[up][role] = dict(names[r["ancestor_id"]])
         return at[""]
@@ -118,6 +119,13 @@ class Genealogy:
         pair = self.tree.spark.createDataFrame([(canonical(id1), canonical(id2))], "id1 string, id2 string")
         return kinship.relate(self.tree, pair, max_generations).first()["relationship"]
 
+    def get_relationship_detail(self, id1: str, id2: str, max_generations: int | None = 10) -> dict:
+        """The relationship, and for cousins the nearest common ancestor."""
+        pair = self.tree.spark.createDataFrame([(canonical(id1), canonical(id2))], "id1 string, id2 string")
+        found = self._one(kinship.relate(self.tree, pair, max_generations))
+        of = found.pop("common_ancestor")
+        return found | ({"common_ancestor": {"id": of, "name": (self.get_individual(of) or {}).get("name")}} if of else {})
+
     def get_relationship_matrix(self, ids: list[str]) -> list[dict]:
         return self._rows(kinship.matrix(self.tree, ids))
 
@@ -176,15 +184,28 @@ class Genealogy:
             "events": {r["type"]: r["events"] for r in places.cluster(self.tree, place, max_results).collect()},
         }
 
-    def search_nearby(self, location: str, radius: float = 50, event_types: list[str] | None = None, unit: str = "miles", max_results: int = 100, gazetteer: DataFrame | None = None) -> dict:
-        at = self._one(spatial.resolve_location(self.tree, location, gazetteer))
+    def search_nearby(self, location: str, radius: float = 50, event_types: list[str] | None = None, unit: str = "miles", max_results: int = 100, gazetteer: DataFrame | None = None, mode: str = "proximity") -> dict:
+        """People near a place named in words, or with mode 'within' inside the box that the gazetteer has for it."""
+        at = self._one(spatial.resolve_location(self.tree, location, gazetteer, box=mode == "within"))
         if at is None:
             return {"error": f"no coordinates for {location}"}
-        return {"location": at, "people": self._rows(spatial.people_near(self.tree, at["lat"], at["lon"], radius, unit, event_types, max_results)), "coverage": self._one(stats.geo_coverage(self.tree))}
+        sides = [at[c] for c in ("south", "north", "west", "east")]
+        if mode == "within":
+            if None in sides:
+                return {"error": f"no box for {location}", "location": at}
+            return {"location": at, "people": self.search_within(*sides, event_types, max_results), "coverage": self._one(stats.geo_coverage(self.tree))}
+        warning = {"warning": f"{location} is a region: mode 'within' finds what lies inside it"} if at["is_region"] else {}
+        return {"location": at, **warning, "people": self._rows(spatial.people_near(self.tree, at["lat"], at["lon"], radius, unit, event_types, max_results)), "coverage": self._one(stats.geo_coverage(self.tree))}
 
     def search_within(self, south: float, north: float, west: float, east: float, event_types: list[str] | None = None, max_results: int = 100) -> list[dict]:
         return self._rows(spatial.people_within(self.tree, south, north, west, east, event_types, max_results))
 
+    def get_place(self, place_id: str) -> dict | None:
+        return self._one(lookup.place(self.tree, place_id))
+
+    def get_overlapping_events(self, id_: str, other: str) -> list[dict]:
+        return self._rows(associates.overlapping_events(self.tree, id_, other))
+
     def semantic_search(self, vectors: DataFrame, query: list[float], max_results: int = 20, key: str = "vec_id") -> list[dict]:
         """The query comes as a vector: encoding text is the caller's model's part."""
         return self._rows(vector.top_k(vectors, query, max_results, key))

@@ -68,6 +68,18 @@ def find(tree: Tree, id_: str, place: str | None = None, start: int | None = Non
     return out if most is None else out.orderBy(F.desc("strength"), "ord").limit(min(200, most))
 
 
+def overlapping_events(tree: Tree, id_: str, other: str, like: float = 75) -> DataFrame:
+    """(target_event, target_year, target_place, candidate_event, candidate_year, candidate_place, overlap_type): the pairs of
+    events of two people whose places match, one row a pair."""
+    ev = tree.individual_place.select("individual_id", "kind", "year", "place", "place_norm")
+    of = lambda i, n: ev.join(ids_of(tree, [i]).select("asked"), F.col("individual_id") == F.col("asked"), "left_semi").select(*[F.col(c).alias(f"{n}_{c}") for c in ("kind", "year", "place", "place_norm")])
+    # two people's own events: a handful on each side
+    j = of(id_, "t").crossJoin(F.broadcast(of(other, "c"))).where(places.match(F.col("t_place_norm"), F.col("c_place_norm"), like))
+    gap = F.abs(F.col("t_year") - F.col("c_year"))
+    kind = F.when(gap.isNull(), "same_place_unknown_year").when(gap == 0, "same_year").when(gap <= 5, "within_5_years").otherwise("same_place")
+    return j.select(F.col("t_kind").alias("target_event"), F.col("t_year").alias("target_year"), F.col("t_place").alias("target_place"), F.col("c_kind").alias("candidate_event"), F.col("c_year").alias("candidate_year"), F.col("c_place").alias("candidate_place"), kind.alias("overlap_type"))
+
+
 def lifespan_pairs(tree: Tree) -> DataFrame:
     """(family_id, overlap): shared years of the spouses of each family."""
     p = tree.individuals.select("id", "birth_year", "death_year")

@@ -13,6 +13,8 @@ from stemma.plans.workspace import Workspace
 from stemma.plans.tables import union_all
 
 MAX_ANCESTORS, MAX_DESCENDANTS, MAX_TRAVERSE = 20, 10, 10
+#: Pairs of a level up to which it is kept as a list of the plan; a larger one becomes a table.
+FRONTIER = 5_000
 
 
 def _everyone(tree: Tree) -> DataFrame:
@@ -23,7 +25,13 @@ def closure(tree: Tree, generations: int = 10, seeds: list[str] | None = None, d
     """(root_id, relative_id, generation), distinct: ancestors (descendants with ``down``) of everyone or of the seeds."""
     ws = Workspace(tree.spark, "closure")
     edges = tree.child_edge.select(F.col("parent_id").alias("a"), F.col("child_id").alias("b")) if down else tree.parent_edge.select(F.col("child_id").alias("a"), F.col("parent_id").alias("b"))
-    edges = ws.save(edges.distinct(), "edges")
+    if seeds is not None:
+        edges = tree.edges("down" if down else "up", edges)
+        few = _few_levels(tree, edges, seeds, generations)
+        if few is not None:
+            return few
+    else:
+        edges = ws.save(edges.distinct(), "edges")
     start = _everyone(tree) if seeds is None else ids_of(tree, seeds).join(_everyone(tree), F.col("asked") == F.col("id")).select("id")
     level = ws.save(start.select(F.col("id").alias("root_id"), F.col("id").alias("relative_id")), "level0")
     levels = []
@@ -35,6 +43,27 @@ def closure(tree: Tree, generations: int = 10, seeds: list[str] | None = None, d
     return union_all(levels) if levels else level.withColumn("generation", F.lit(0)).limit(0)
 
 
+def _few_levels(tree: Tree, edges: DataFrame, seeds: list[str], generations: int) -> DataFrame | None:
+    """The closure of a few seeds, each level's pairs looked up as a list; None as soon as a level has more than FRONTIER."""
+    asked = [r["id"] for r in ids_of(tree, seeds).select(F.col("asked").alias("id")).join(_everyone(tree), "id", "left_semi").collect()]
+    level, out = {(i, i) for i in asked}, []
+    for g in range(1, generations + 1):
+        ends = sorted({b for _, b in level})
+        if not ends:
+            break
+        met = edges.where(F.col("a").isin(ends)).limit(FRONTIER + 1).collect()
+        if len(met) > FRONTIER:
+            return None
+        of: dict[str, list[str]] = {}
+        for r in met:
+            of.setdefault(r["a"], []).append(r["b"])
+        level = {(root, b) for root, a in level for b in of.get(a, ())}
+        if len(level) > FRONTIER:
+            return None
+        out += [(root, b, g) for root, b in sorted(level)]
+    return tree.spark.createDataFrame(out, "root_id string, relative_id string, generation int")
+
+
 def nearest(pairs: DataFrame) -> DataFrame:
     """The least generation of each pair."""
     return pairs.groupBy("root_id", "relative_id").agg(F.min("generation").alias("generation"))

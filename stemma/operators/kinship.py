@@ -13,7 +13,7 @@ from stemma.plans.workspace import Workspace
 
 
 def relate(tree: Tree, pairs: DataFrame, generations: int | None = 10) -> DataFrame:
-    """(id1, id2, relationship) of pairs(id1, id2). Null where one is unknown. Pairs are answered once each.
+    """(id1, id2, relationship, common_ancestor) of pairs(id1, id2). Null where one is unknown. Pairs are answered once each.
 
     The wording names id1's role for near relations and id2's for more distant lines, as callers know it; ties of
     common ancestors are decided by (sum of generations, generations of id1, ancestor id).
@@ -55,7 +55,7 @@ def relate(tree: Tree, pairs: DataFrame, generations: int | None = 10) -> DataFr
     one = up.select(F.col("root_id").alias("r1"), F.col("relative_id").alias("c1"), F.col("generation").alias("n1"))
     two = up.select(F.col("root_id").alias("r2"), F.col("relative_id").alias("c2"), F.col("generation").alias("n2"))
     common = pairs.join(one, pairs.id1 == one.r1).join(two, (F.col("id2") == F.col("r2")) & (F.col("c1") == F.col("c2")))
-    common = common.groupBy("id1", "id2").agg(F.min(F.struct((F.col("n1") + F.col("n2")).alias("s"), "n1", "c1", "n2")).alias("best")).select(F.col("id1").alias("q1"), F.col("id2").alias("q2"), F.col("best.n1").alias("n1"), F.col("best.n2").alias("n2"))
+    common = common.groupBy("id1", "id2").agg(F.min(F.struct((F.col("n1") + F.col("n2")).alias("s"), "n1", "c1", "n2")).alias("best")).select(F.col("id1").alias("q1"), F.col("id2").alias("q2"), F.col("best.n1").alias("n1"), F.col("best.n2").alias("n2"), F.col("best.c1").alias("nearest"))
     out = out.join(common, (F.col("id1") == F.col("q1")) & (F.col("id2") == F.col("q2")), "left")
     degree, removal = F.least("n1", "n2") - 1, F.abs(F.col("n1") - F.col("n2"))
     cousin = F.concat(X.ordinal(degree), F.lit(" cousin"), F.when(removal == 0, "").when(removal == 1, " once removed").when(removal == 2, " twice removed").otherwise(F.concat(F.lit(" "), removal.cast("string"), F.lit("x removed"))))
@@ -67,7 +67,7 @@ def relate(tree: Tree, pairs: DataFrame, generations: int | None = 10) -> DataFr
         .when(same("dad1", "id2") | same("mum1", "id2"), "child")
         .when(same("dad2", "id1") | same("mum2", "id1"), "parent")
         .when(F.col("is_spouse"), "spouse")
-        .when(same("famc1", "famc2"), "sibling")
+        .when(same("fam1", "fam2"), "sibling")
         .when(shared, "half-sibling")
         .when(F.col("grand1"), "grandchild")
         .when(F.col("grand2"), "grandparent")
@@ -78,7 +78,9 @@ def relate(tree: Tree, pairs: DataFrame, generations: int | None = 10) -> DataFr
         .when(F.col("n1").isNotNull() & (degree >= 1), cousin)
         .otherwise(none)
     )
-    return out.select("id1", "id2", answer.alias("relationship"))
+    out = out.select("id1", "id2", answer.alias("relationship"), "nearest")
+    # only cousins are told by an ancestor
+    return out.select("id1", "id2", "relationship", F.when(F.col("relationship").contains(" cousin"), F.col("nearest")).alias("common_ancestor"))
 
 
 def _closure_of(tree: Tree, ws: Workspace, who: DataFrame, depth: int) -> DataFrame:

@@ -19,13 +19,13 @@ def ids_of(tree: Tree, ids: list[str]) -> DataFrame:
 
 
 def individual(tree: Tree, id_: str) -> DataFrame:
-    return tree.individuals.where(F.col("id") == lookup_id(F.lit(id_))).select(*FULL)
+    return tree.people([id_]).select(*FULL)
 
 
 def individuals_batch(tree: Tree, ids: list[str]) -> DataFrame:
     """One row for each distinct asked id, null where there is no such person."""
     asked = ids_of(tree, ids)
-    return asked.join(tree.individuals, asked.asked == F.col("id"), "left").select("asked", "name", "birth_date", "death_date")
+    return asked.join(tree.people(ids), asked.asked == F.col("id"), "left").select("asked", "name", "birth_date", "death_date")
 
 
 def families(tree: Tree) -> DataFrame:
@@ -130,3 +130,8 @@ def embedding_texts(tree: Tree) -> DataFrame:
     j = b.join(lines, b.id == lines.e_id, "left").join(notes, b.id == notes.n_id, "left")
     text = F.concat_ws(" ", "name", F.nullif("vital_summary", F.lit("")), t("Parents: ", F.col("parents")), t("Spouses: ", F.col("spouses")), F.col("events"), F.nullif("person_notes", F.lit("")))
     return j.select("id", text.alias("text")).where(F.trim("text") != "")
+
+
+def place(tree: Tree, place_id: str) -> DataFrame:
+    """The place of that id, or no row."""
+    return tree.places.where(F.col("id") == place_id).select("id", "original", "normalized", "components", "latitude", "longitude")

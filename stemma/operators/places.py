@@ -58,11 +58,11 @@ def variants(tree: Tree, query: str) -> DataFrame:
 
 
 def place_scores(tree: Tree, query: str, threshold: float = 70, exact_only: bool = False) -> DataFrame:
-    """(place_id, score) by strategy in order: text contained 100, same normalised form 95, likeness (if higher),
+    """(place_id, score) by strategy in order: text contained 100, normalised form contained 95, likeness (if higher),
     sound 60, former name 80; the last two only where nothing scored before, sound first."""
     b = tree.individual_place.select("place_id", "place", "place_norm").distinct()
     sub = b.where(F.lower("place").contains(query.lower())).select("place_id", F.lit(100.0).alias("score"), F.lit(1).alias("turn"))
-    norm = b.where(F.col("place_norm") == X.normalize_place(F.lit(query))).select("place_id", F.lit(95.0).alias("score"), F.lit(2).alias("turn"))
+    norm = b.where(F.col("place_norm").contains(X.normalize_place(F.lit(query)))).select("place_id", F.lit(95.0).alias("score"), F.lit(2).alias("turn"))
     hist = historical_variants(tree, tree.spark.createDataFrame([(query,)], "place string")).select("variant")
     old = b.join(F.broadcast(hist), F.lower("place").contains(F.col("variant"))).select("place_id", F.lit(80.0).alias("score"), F.lit(5).alias("turn"))
     parts = [sub, norm, old]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions import exprs as X
-from stemma.functions.similarity import near_pairs
+from stemma.functions.similarity import near_pairs, weighted_udf
 from stemma.operators.nearby import great_circle_km, usable
 from stemma.plans.model import Tree
 
@@ -86,13 +86,33 @@ def confidence_of(importance):
     return F.when(importance > 0.6, "high").when(importance > 0.3, "medium").otherwise("low")
 
 
-def resolve_location(tree: Tree, query: str, gazetteer: DataFrame | None = None) -> DataFrame:
-    """(lat, lon, tier) of a place named in words: the place of that normalised form, else one whose spelling holds the
-    text, else the gazetteer. No row if there is none."""
-    p = located(tree).join(tree.places.select(F.col("id").alias("i"), "normalized", "ord"), F.col("place_id") == F.col("i"))
-    same = p.where(F.col("normalized") == X.normalize_place(F.lit(query))).select("lat", "lon", F.lit(1).alias("tier"), "ord")
-    part = p.where(F.lower("original").contains(query.lower())).select("lat", "lon", F.lit(2).alias("tier"), "ord")
-    rows = same.unionByName(part)
+#: Degrees of latitude or longitude from which on a box is a region rather than a point.
+REGION_DEGREES = 0.5
+
+
+def is_region(south, north, west, east):
+    """Whether a box spans a region: null where a side is missing."""
+    return ((north - south) > REGION_DEGREES) | (F.abs(east - west) > REGION_DEGREES)
+
+
+def resolve_location(tree: Tree, query: str, gazetteer: DataFrame | None = None, like: float = 80, box: bool = False) -> DataFrame:
+    """(lat, lon, matched, tier, confidence, south, north, west, east, is_region) of a place named in words.
+
+    Tier 1 is the place of that normalised form, 2 one like it by weighted ratio (high from 95 up, else medium), 3 the
+    gazetteer(name, lat, lon[, south, north, west, east]) by the first component. With ``box`` the gazetteer comes
+    first, since it alone knows boxes. No row if there is none.
+    """
+    q = X.normalize_place(F.lit(query))
+    p = tree.places.where(usable(F.col("latitude"), F.col("longitude"))).select("normalized", "original", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "ord")
+    score = F.when(F.col("normalized") == q, 100.0).otherwise(weighted_udf(F.col("normalized"), q))
+    found = p.withColumn("score", score).where(F.col("score") >= like)
+    tier = F.when(F.col("normalized") == q, 1).otherwise(2)
+    none = F.lit(None).cast("double")
+    rows = found.select("lat", "lon", F.col("original").alias("matched"), tier.alias("tier"), F.when(F.col("score") >= 95, "high").otherwise("medium").alias("confidence"), "score", "ord", *[none.alias(c) for c in ("south", "north", "west", "east")])
     if gazetteer is not None:
-        rows = rows.unionByName(gazetteer.where(F.lower("name") == query.split(",")[0].strip().lower()).select("lat", "lon", F.lit(3).alias("tier"), F.lit(0).cast("bigint").alias("ord")))
-    return rows.orderBy("tier", "ord").limit(1).select("lat", "lon", "tier")
+        side = lambda c: F.col(c).cast("double") if c in gazetteer.columns else none
+        g = gazetteer.where(F.lower("name") == query.split(",")[0].strip().lower())
+        g = g.select("lat", "lon", F.col("name").alias("matched"), F.lit(0 if box else 3).alias("tier"), F.lit("high").alias("confidence"), F.lit(100.0).alias("score"), F.lit(0).cast("bigint").alias("ord"), *[side(c).alias(c) for c in ("south", "north", "west", "east")])
+        rows = rows.unionByName(g)
+    best = rows.orderBy("tier", F.desc("score"), "ord", "lat", "lon").limit(1).drop("score", "ord")
+    return best.withColumn("is_region", F.coalesce(is_region(F.col("south"), F.col("north"), F.col("west"), F.col("east")), F.lit(False)))

@@ -413,10 +413,10 @@ TIME = "coalesce(year, 9999) AS sort_year, coalesce(date, '') AS sort_date"
 
 @query
 def timeline_person(t: Tree) -> DataFrame:
-    return timeline.person(t, SEED)
+    return timeline.person(t, OTHER)
 
 
-oracle("timeline_person", f"SELECT individual_id, event_ord, type, date, year, place, {TIME} FROM ev WHERE individual_id = '{SEED}'")
+oracle("timeline_person", f"SELECT individual_id, event_ord, type, date, year, place, {TIME} FROM ev WHERE individual_id = '{OTHER}'")
 
 
 @query
@@ -554,15 +554,17 @@ def say(n: str, near: str, far: str) -> str:
     return f"CASE {n} WHEN 1 THEN '{near}' WHEN 2 THEN '{far}' WHEN 3 THEN 'great-{far}' ELSE (CASE {n} - 2 {words} ELSE ({n} - 2) || 'th' END) || ' great-{far}' END"
 
 
+CLOSE = """near AS (SELECT DISTINCT root_id, relative_id FROM mg WHERE g <= 2),
+pairs AS (SELECT a.root_id AS id1, b.root_id AS id2 FROM near a JOIN near b USING (relative_id) UNION SELECT root_id, relative_id FROM near UNION SELECT husband_id, wife_id FROM sf WHERE husband_id IS NOT NULL AND wife_id IS NOT NULL),"""
 KIN = up_to(10, "") + """, mg AS (SELECT root_id, relative_id, min(generation) AS g FROM up WHERE generation > 0 GROUP BY 1, 2),
-fam AS (SELECT p.id, p.famc, f.husband_id AS dad, f.wife_id AS mum FROM p LEFT JOIN f ON f.family_id = p.famc),
+fam AS (SELECT p.id, p.famc, f.family_id AS fam, f.husband_id AS dad, f.wife_id AS mum FROM p LEFT JOIN f ON f.family_id = p.famc),
 gp AS (SELECT a.id, g.family_id, g.husband_id, g.wife_id FROM fam a JOIN fam b ON b.id = a.dad OR b.id = a.mum JOIN f g ON g.family_id = b.famc),
 gps AS (SELECT DISTINCT id, unnest([husband_id, wife_id]) AS b FROM gp), aunts AS (SELECT DISTINCT id, child_id AS b FROM gp JOIN fc USING (family_id)),
 wed AS (SELECT DISTINCT person_id, unnest([husband_id, wife_id]) AS b FROM sf),
 near AS (SELECT DISTINCT root_id, relative_id FROM mg WHERE g <= 2),
 pairs AS (SELECT a.root_id AS id1, b.root_id AS id2 FROM near a JOIN near b USING (relative_id) UNION SELECT root_id, relative_id FROM near UNION SELECT husband_id, wife_id FROM sf WHERE husband_id IS NOT NULL AND wife_id IS NOT NULL),
 ca AS (SELECT id1, id2, min((x.g + y.g, x.g, x.relative_id, y.g)) AS m FROM pairs JOIN mg x ON x.root_id = id1 JOIN mg y ON y.root_id = id2 AND y.relative_id = x.relative_id GROUP BY 1, 2),
-flat AS (SELECT q.*, a.id AS k1, b.id AS k2, a.famc AS famc1, b.famc AS famc2, a.dad AS dad1, b.dad AS dad2, a.mum AS mum1, b.mum AS mum2, u.g AS g12, v.g AS g21, struct_extract(m, 2) AS n1, struct_extract(m, 4) AS n2
+flat AS (SELECT q.*, a.id AS k1, b.id AS k2, a.fam AS fam1, b.fam AS fam2, a.dad AS dad1, b.dad AS dad2, a.mum AS mum1, b.mum AS mum2, u.g AS g12, v.g AS g21, struct_extract(m, 2) AS n1, struct_extract(m, 3) AS nearest, struct_extract(m, 4) AS n2
 FROM pairs q LEFT JOIN fam a ON a.id = id1 LEFT JOIN fam b ON b.id = id2 LEFT JOIN mg u ON u.root_id = id1 AND u.relative_id = id2 LEFT JOIN mg v ON v.root_id = id2 AND v.relative_id = id1 LEFT JOIN ca ON ca.id1 = q.id1 AND ca.id2 = q.id2)
 """
 COUSIN = "(CASE least(n1, n2) - 1 " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(X.ORDINALS, 1)) + " ELSE (least(n1, n2) - 1) || 'th' END) || ' cousin' || CASE abs(n1 - n2) WHEN 0 THEN '' WHEN 1 THEN ' once removed' WHEN 2 THEN ' twice removed' ELSE ' ' || abs(n1 - n2) || 'x removed' END"
@@ -573,12 +575,13 @@ def relationship_pairs(t: Tree) -> DataFrame:
     return kinship.relate(t, _pairs(t))
 
 
-oracle("relationship_pairs", f"""SELECT id1, id2, CASE WHEN k1 IS NULL OR k2 IS NULL THEN NULL WHEN id1 = id2 THEN 'same person' WHEN id2 IN (dad1, mum1) THEN 'child' WHEN id1 IN (dad2, mum2) THEN 'parent'
-WHEN EXISTS (SELECT 1 FROM wed w WHERE w.person_id = flat.id1 AND w.b = flat.id2) THEN 'spouse' WHEN famc1 = famc2 THEN 'sibling' WHEN dad1 = dad2 OR mum1 = mum2 OR dad1 = mum2 OR mum1 = dad2 THEN 'half-sibling'
+RELATED = f"""SELECT id1, id2, relationship, CASE WHEN contains(relationship, ' cousin') THEN nearest END AS common_ancestor FROM (SELECT id1, id2, nearest, CASE WHEN k1 IS NULL OR k2 IS NULL THEN NULL WHEN id1 = id2 THEN 'same person' WHEN id2 IN (dad1, mum1) THEN 'child' WHEN id1 IN (dad2, mum2) THEN 'parent'
+WHEN EXISTS (SELECT 1 FROM wed w WHERE w.person_id = flat.id1 AND w.b = flat.id2) THEN 'spouse' WHEN fam1 = fam2 THEN 'sibling' WHEN dad1 = dad2 OR mum1 = mum2 OR dad1 = mum2 OR mum1 = dad2 THEN 'half-sibling'
 WHEN EXISTS (SELECT 1 FROM gps w WHERE w.id = flat.id1 AND w.b = flat.id2) THEN 'grandchild' WHEN EXISTS (SELECT 1 FROM gps w WHERE w.id = flat.id2 AND w.b = flat.id1) THEN 'grandparent'
 WHEN g12 IS NOT NULL THEN {say('g12', 'parent', 'grandparent')} WHEN g21 IS NOT NULL THEN {say('g21', 'child', 'grandchild')}
 WHEN EXISTS (SELECT 1 FROM aunts w WHERE w.id = flat.id1 AND w.b = flat.id2) THEN 'niece/nephew' WHEN EXISTS (SELECT 1 FROM aunts w WHERE w.id = flat.id2 AND w.b = flat.id1) THEN 'aunt/uncle'
-WHEN least(n1, n2) - 1 >= 1 THEN {COUSIN} ELSE 'not related (within 10 generations)' END AS relationship FROM flat""", KIN)
+WHEN least(n1, n2) - 1 >= 1 THEN {COUSIN} ELSE 'not related (within 10 generations)' END AS relationship FROM flat)"""
+oracle("relationship_pairs", RELATED, KIN)
 
 
 @query
@@ -586,6 +589,9 @@ def relationship_matrix(t: Tree) -> DataFrame:
     return kinship.matrix(t, [f"@I{k}@" for k in range(1, 41)])
 
 
+oracle("relationship_matrix", RELATED, KIN.replace(CLOSE, "pairs AS (SELECT '@I' || a.k || '@' AS id1, '@I' || b.k || '@' AS id2 FROM range(1, 41) a(k) JOIN range(1, 41) b(k) ON a.k < b.k),"))
+
+
 # --- places --------------------------------------------------------------------------------------------------------
 
 COMPS = f"list_filter(list_transform(string_split(original, ','), lambda x: {strip('x')}), lambda x: x <> '')"
@@ -618,12 +624,20 @@ oracle("historical_variants", f"""SELECT DISTINCT place, variant FROM (SELECT pl
 FROM (VALUES ('Leningrad, Ussr'), ('Danzig, West Prussia, Germany'), ('Serbia'), ('Ho Chi Minh City, Vietnam'), ('Nowhere')) AS a(place)) JOIN (VALUES {HIST}) AS h(name, variant) ON w = name""")
 
 
+@query
+def place_by_id(t: Tree) -> DataFrame:
+    return lookup.place(t, "0" * 12).unionByName(t.places.orderBy("id").limit(3).select("id", "original", "normalized", "components", "latitude", "longitude")).select("id", "original", "normalized", F.size("components").alias("n_components"))
+
+
+oracle("place_by_id", "SELECT id, original, normalized, CAST(len(components) AS INTEGER) AS n_components FROM places ORDER BY id LIMIT 3")
+
+
 @query
 def place_search_exact_layers(t: Tree) -> DataFrame:
     return places.people_by_place(t, "Barivale County", most=None, exact_only=True)
 
 
-oracle("place_search_exact_layers", f"""SELECT id, name, max(score) AS score, ord FROM (SELECT individual_id, CASE WHEN bool_or(contains(lower(place), 'barivale county')) OVER (PARTITION BY place_id) THEN 100.0::DOUBLE WHEN place_norm = {norm("'Barivale County'")} THEN 95.0::DOUBLE END AS score FROM ip) s
+oracle("place_search_exact_layers", f"""SELECT id, name, max(score) AS score, ord FROM (SELECT individual_id, CASE WHEN bool_or(contains(lower(place), 'barivale county')) OVER (PARTITION BY place_id) THEN 100.0::DOUBLE WHEN contains(place_norm, {norm("'Barivale County'")}) THEN 95.0::DOUBLE END AS score FROM ip) s
 JOIN p ON p.id = individual_id WHERE score IS NOT NULL GROUP BY id, name, ord""")
 
 
@@ -680,6 +694,14 @@ def nearby_km(t: Tree) -> DataFrame:
 oracle("nearby_km", f"SELECT id, name, round(min(d), 1) AS distance, count(*) AS matches, ord FROM (SELECT place_id, {FROM_POINT} AS d FROM pl) JOIN ip USING (place_id) JOIN p ON p.id = individual_id WHERE d <= 500 AND kind IN ('BIRT', 'DEAT') GROUP BY id, name, ord")
 
 
+@query
+def nearby_first(t: Tree) -> DataFrame:
+    return spatial.people_near(t, *POINT, radius=400, most=30)
+
+
+oracle("nearby_first", ORACLE["nearby_people"].removeprefix(BASE) + " ORDER BY distance, ord LIMIT 30")
+
+
 @query
 def within_bbox(t: Tree) -> DataFrame:
     return spatial.people_within(t, -40, 10, -60, 60, most=None)
@@ -721,6 +743,14 @@ FROM (SELECT c.individual_id, sum(CASE WHEN c.year IS NULL OR m.year IS NULL THE
 FROM ip c JOIN ip m ON m.place_norm = c.place_norm AND m.individual_id = '{SEED}' WHERE c.individual_id <> '{SEED}' GROUP BY 1) g JOIN p ON p.id = g.individual_id, (SELECT birth_year, death_year FROM p WHERE id = '{SEED}') o WHERE p.id NOT IN (SELECT id FROM rel))""", RELATIVES)
 
 
+@query
+def associates_first(t: Tree) -> DataFrame:
+    return associates.find(t, SEED, most=25)
+
+
+oracle("associates_first", ORACLE["associates_exact_place"].removeprefix(BASE + RELATIVES) + " ORDER BY strength DESC, ord LIMIT 25", RELATIVES)
+
+
 @query
 def associates_fuzzy(t: Tree) -> DataFrame:
     return associates.find(t, SEED, most=50, fuzzy=True, exclude_relatives=False)

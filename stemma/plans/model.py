@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import exprs as X
 from stemma.plans import tables as T
+from stemma.plans.workspace import Workspace
 
 
 class Tree:
@@ -16,10 +17,28 @@ class Tree:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._edges: dict[str, DataFrame] = {}
+
+    def edges(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows(a, b), distinct, as a table written once for this tree."""
+        if name not in self._edges:
+            self._edges[name] = Workspace(self.spark, "edges").save(rows.distinct(), name)
+        return self._edges[name]
+
+    def people(self, ids: list[str]) -> DataFrame:
+        """The individuals of the asked ids: the stored ids in their usual forms are asked of the scan, before the current rows are made."""
+        bare = [i.strip("@") for i in ids]
+        forms = sorted({a + i + b for i in bare for a in ("", "@") for b in ("", "@")})
+        stored = F.col("id")
+        rows = T.read(self.spark, self.folder, "individuals").where(stored.isin(forms) | stored.startswith("@@") | stored.endswith("@@"))
+        return self._typed(T.current(rows, "id")).where(F.col("id").isin([f"@{i}@" for i in bare]))
 
     @cached_property
     def individuals(self) -> DataFrame:
-        p = T.individuals(self.spark, self.folder)
+        return self._typed(T.individuals(self.spark, self.folder))
+
+    @staticmethod
+    def _typed(p: DataFrame) -> DataFrame:
         given, surname = F.coalesce("given_name", F.lit("")), F.coalesce("surname", F.lit(""))
         return p.select(
             T.pointer(F.col("id")).alias("id"), given.alias("given_name"), surname.alias("surname"), X.full_name(given, surname).alias("name"), F.lower(surname).alias("surname_lc"), "sex",

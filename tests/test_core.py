@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -56,6 +57,17 @@ def test_similarity():
     assert S.weighted_ratio("new york city", "city new york") == 95
 
 
+def test_weighted_ratio_by_published_examples():
+    assert S.partial("this is a test", "this is a test!") == 100 and round(S.lcs_ratio("this is a test", "this is a test!")) == 97
+    assert S.token_ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == 100 and S.token_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100
+    # by sets of words: the two that both have, against these with the shorter rest
+    assert S.token_ratio("mariners vs angels", "angels mariners at home") == pytest.approx(max(S.lcs_ratio("angels mariners vs", "angels at home mariners"), 200 * 15 / (15 + 18)))
+    assert S.partial_token_ratio("yankees", "new york yankees") == 100 and S.partial_token_ratio("abc", "xabcx") == 100
+    assert S.weighted_ratio("boston massachusetts", "boston suffolk massachusetts usa") == pytest.approx(85.5)
+    assert S.weighted_ratio("ab", "ab" + "x" * 20) == pytest.approx(60) and S.weighted_ratio("", "a") == 0
+    assert S.partial("cde", "abc") == pytest.approx(50) == S.partial("abc", "cde")
+
+
 def test_near_pairs_against_brute_force(spark):
     rng = random.Random(5)
     names = ["".join(rng.choice("abcde ") for _ in range(rng.choice((3, 4, 5, 7, 8, 10, 13, 20, 24, 26, 40, 60)))) for _ in range(120)]

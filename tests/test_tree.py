@@ -181,6 +181,45 @@ def test_geocode_first_letter_and_long_names(spark):
     assert checked["1"] == (1.0, "gazetteer") and checked["2"] == (None, "not_found")
 
 
+def test_dangling_family_makes_no_siblings(spark, tmp_path):
+    from datetime import datetime
+
+    at = datetime(2020, 1, 1)
+    people = [(i, "A", "Lee", None, None, "Saint Louis, Missouri" if i == "@x@" else None, None, None, f, [], [], at, n) for n, (i, f) in enumerate([("@x@", "@none@"), ("@y@", "@none@"), ("z", "@F1@"), ("@@w@@", "F1")])]
+    spark.createDataFrame(people, "id string, given_name string, surname string, sex string, birth_date string, birth_place string, death_date string, death_place string, family_as_child string, families_as_spouse array<string>, notes array<string>, loaded_at timestamp, ord long").write.parquet(f"{tmp_path}/individuals.parquet")
+    spark.createDataFrame([("@F1@", None, None, ["z", "w"], None, None, at, 1)], "id string, husband_id string, wife_id string, children_ids array<string>, marriage_date string, marriage_place string, loaded_at timestamp, ord long").write.parquet(f"{tmp_path}/families.parquet")
+    spark.createDataFrame([], "individual_id string, event_ord int, type string, date string, place string, description string, notes array<string>, loaded_at timestamp, ord long").write.parquet(f"{tmp_path}/person_events.parquet")
+    spark.createDataFrame([("p", "Saint Louis, Missouri", "saint louis, missouri", ["Saint Louis", "Missouri"], 1.0, 2.0, 1)], "id string, original string, normalized string, components array<string>, latitude double, longitude double, ord long").write.parquet(f"{tmp_path}/places.parquet")
+    t = Tree(spark, str(tmp_path))
+    pairs = spark.createDataFrame([("@x@", "@y@"), ("@z@", "@w@")], "id1 string, id2 string")
+    assert {r.id1: r.relationship for r in kinship.relate(t, pairs).collect()} == {"@x@": "not related (within 10 generations)", "@z@": "sibling"}
+    assert {r.id for r in t.people(["w", "@z", "nobody"]).collect()} == {"@w@", "@z@"}
+    # a short form of a name is found in the normalised places that contain it
+    from stemma.operators import places
+
+    assert [(r.id, r.score) for r in places.people_by_place(t, "St. Louis", exact_only=True).collect()] == [("@x@", 95.0)]
+
+
+def test_levels_as_lists_and_as_tables(tree, monkeypatch):
+    as_list = {tuple(r) for r in graph.closure(tree, 5, ["c1", "d"]).collect()}
+    monkeypatch.setattr(graph, "FRONTIER", 0)
+    assert as_list and {tuple(r) for r in graph.closure(tree, 5, ["c1", "d"]).collect()} == as_list
+
+
+def test_location_by_likeness_and_box(spark, tree):
+    from stemma.api import Genealogy
+
+    g = Genealogy(spark, tree.folder)
+    gaz = spark.createDataFrame([("Shire", 10.0, 10.0, -60.0, 80.0, -170.0, 170.0), ("Spot", 1.0, 1.0, 0.9, 1.1, 0.9, 1.1)], "name string, lat double, lon double, south double, north double, west double, east double")
+    at = spatial.resolve_location(tree, "Hil, Shire").first()
+    assert at.tier == 2 and at.confidence == "high" and at.is_region is False
+    assert "warning" in g.search_nearby("Shire", gazetteer=gaz, mode="proximity") or g.search_nearby("Shire", gazetteer=gaz)["location"]["tier"] == 2
+    inside = g.search_nearby("Shire", gazetteer=gaz, mode="within")
+    assert inside["location"]["is_region"] and inside["people"] and "error" in g.search_nearby("Hill", mode="within")
+    assert g.search_nearby("Spot", gazetteer=gaz, mode="within")["people"] == []
+    assert g.get_relationship_detail("c1", "d")["common_ancestor"]["id"]
+
+
 def test_api(spark, tree):
     from stemma.api import Genealogy
     from stemma.operators import places, vector
