@@ -1,28 +1,35 @@
 """The k most similar vectors of every vector, by cosine.
 
 Vectors are brought to length one and turned by a fixed random rotation, after which any leading block of
-dimensions is a fair sample of a distance. An inverted file is fitted on a bounded sample: k-means lists, and
-cells that are balanced unions of neighbouring lists. Every vector is sent to the cell of its list and, as a
+dimensions is a fair sample of a distance. An inverted file is fitted on bounded samples: k-means lists, whose number
+grows with the vectors, and cells that are balanced unions of neighbouring lists. Beyond what SAMPLE_ROWS rows can train,
+lists are made in two levels: coarse lists from that sample, and in each, on the workers, as many lists as its share of
+the vectors asks for, from TRAIN_ROWS sampled rows a list. Every vector is sent to the cell of its list and, as a
 query, to the other cells among its nearest lists. In a cell the lists are held in column blocks; a list is
 scanned block by block, and a candidate is abandoned as soon as a hypothesis test on the partial distance says
 that it cannot be among the query's k best so far. Exact copies travel once and are expanded at the end.
 
-Every row is indexed and searched. Bounds: SAMPLE_ROWS rows train the lists; of a query's PROBES nearest lists
+Every row is indexed and searched. Bounds: there are at most MAX_LISTS lists, so that their centres can be broadcast;
+beyond LIST_ROWS * MAX_LISTS vectors lists become longer. Of a query's PROBES nearest lists
 those within MARGIN of the nearest are scanned. Lists are counted first: a query whose nearest lists hold less than
 k others takes further lists, all if need be, until they hold k, and MARGIN counts from the last of these. Equal vectors are told by a 64-bit hash of their rounded numbers.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.plans.workspace import Workspace, cores, spread
+from stemma.plans.workspace import Workspace
 
-SAMPLE_ROWS = 12_000
-LIST_ROWS = 600
+SAMPLE_ROWS, TRAIN_ROWS = 12_000, 8
+LIST_ROWS, MAX_LISTS = 600, 65_536
+#: Coarse lists looked into for a vector's nearest lists, for each list asked for; at least 8.
+COARSE_PROBES = 2
 CELL_ROWS = 12_000
 PROBES = 8
 #: A list is only scanned if its centre's cosine is within this of the nearest centre's, or of the centre's at which
@@ -55,6 +62,47 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 11) -> np.ndarray
     return centres
 
 
+class Lists:
+    """Centres of lists; with two levels also the coarse centres and, of each, the numbers of its lists."""
+
+    def __init__(self, centres: np.ndarray, coarse: np.ndarray | None = None, of: list[np.ndarray] | None = None):
+        self.centres, self.coarse, self.of = centres, coarse, of
+
+    def __len__(self) -> int:
+        return len(self.centres)
+
+    def nearest(self, x: np.ndarray, k: int, rows: int = 4096) -> np.ndarray:
+        """Numbers of the k nearest lists, nearest first; with two levels of those in the nearest coarse lists."""
+        k = min(k, len(self))
+        if self.coarse is None or k > len(self) // 2:
+            return nearest(x, self.centres, k)
+        out = np.empty((len(x), k), np.int32)
+        for s in range(0, len(x), rows):
+            part = x[s : s + rows]
+            near = nearest(part, self.coarse, max(8, COARSE_PROBES * k))
+            n = np.zeros(len(part), np.int64)
+            for c, lists in enumerate(self.of):
+                n += np.where((near == c).any(1), len(lists), 0)
+            # sides with fewer lists than asked for are looked at whole
+            few = n < k
+            sim = np.full((len(part), int(n.max(initial=1))), -np.inf, np.float32)
+            who = np.full(sim.shape, -1, np.int32)
+            at = np.zeros(len(part), np.int64)
+            for c, lists in enumerate(self.of):
+                rows_ = np.flatnonzero((near == c).any(1))
+                if len(rows_) and len(lists):
+                    cols = at[rows_][:, None] + np.arange(len(lists))
+                    sim[rows_[:, None], cols] = part[rows_] @ self.centres[lists].T
+                    who[rows_[:, None], cols] = lists
+                    at[rows_] += len(lists)
+            got = np.take_along_axis(who, np.argsort(-sim, axis=1, kind="stable")[:, :k], 1)
+            if got.shape[1] < k:
+                got = np.pad(got, ((0, 0), (0, k - got.shape[1])), constant_values=-1)
+            got[few] = nearest(part[few], self.centres, k)
+            out[s : s + rows] = got
+        return out
+
+
 def nearest(x: np.ndarray, centres: np.ndarray, k: int, rows: int = 4096) -> np.ndarray:
     """Numbers of the k nearest centres, nearest first."""
     k = min(k, len(centres))
@@ -86,10 +134,11 @@ def cells_of_lists(centres: np.ndarray, weight: np.ndarray, cells: int) -> np.nd
     return out
 
 
-def probes_of(x: np.ndarray, centres: np.ndarray, sizes: np.ndarray, probes: int, margin: float, k: int) -> np.ndarray:
+def probes_of(x: np.ndarray, lists: Lists, sizes: np.ndarray, probes: int, margin: float, k: int) -> np.ndarray:
     """Lists to scan for each row, nearest first, -1 where there is none; together they hold k rows besides the row
     itself if the table has them. sizes: rows of each list."""
-    near = nearest(x, centres, probes)
+    centres = lists.centres
+    near = lists.nearest(x, probes)
     probes = near.shape[1]
     need = np.zeros(len(x), np.int64)
     held = np.cumsum(sizes[near], 1) > k
@@ -212,7 +261,7 @@ def usable_vectors(vectors: DataFrame, dim: int, key: str = "vec_id", column: st
     return vectors.select(F.col(key).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) == dim) & ~bad & F.exists(v, lambda e: e != 0))
 
 
-def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id", column: str = "embedding", probes: int = PROBES, margin: float = MARGIN, list_rows: int = LIST_ROWS, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id", column: str = "embedding", probes: int = PROBES, margin: float = MARGIN, list_rows: int = LIST_ROWS, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, max_lists: int = MAX_LISTS) -> DataFrame:
     """(id, other, rank): the k most similar vectors of each usable vector, rank from 1, fewer if there are fewer.
 
     Order: cosine from high to low, then the smaller id. A vector is never its own neighbour; equal vectors
@@ -234,11 +283,11 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
             same = np.round(unit * 1e6).astype(np.int32)
             same[same == 0] = 0
             keys = np.array([xxhash.xxh3_64_intdigest(r) for r in same], np.uint64).view(np.int64)
-            turned = (unit.astype(np.float32) @ turn).astype(np.float16)
+            turned = unit.astype(np.float32) @ turn
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([r.tobytes() for r in turned], pa.binary())], names=["id", "same", "turned"])
 
     usable = usable_vectors(vectors, dim, key, column)
-    ready = spread(usable, 1).mapInArrow(prepare, "id bigint, same bigint, turned binary")
+    ready = usable.mapInArrow(prepare, "id bigint, same bigint, turned binary")
     ready = ws.save(ready, "ready")
     # groups of equal vectors: their number, and the k + 1 smallest ids, pre-limited before the shuffle
     ids = ready.select("id", "same")
@@ -250,23 +299,27 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
         return ids.select("id", F.col("id").alias("other"), F.lit(1).alias("rank")).limit(0)
     part = min(1.0, sample_rows / total)
     rows = ready.where(F.pmod(F.xxhash64("same"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).groupBy("same").agg(F.first("turned").alias("turned")).limit(2 * sample_rows).select("turned").toPandas()
-    sample = np.stack([np.frombuffer(r, np.float16) for r in rows.turned]).astype(np.float32) if len(rows) else np.zeros((1, dim), np.float32)
-    centres = kmeans(sample, max(1, min(len(sample) // 8 + 1, round(total / list_rows))))
-    weight = np.bincount(nearest(sample, centres, 1)[:, 0], minlength=len(centres)).astype(float)
-    n_cells = min(len(centres), max(1, round(total / cell_rows)))
-    cell_of = cells_of_lists(centres, weight, n_cells)
-    n_probes = min(probes, len(centres))
+    sample = np.stack([np.frombuffer(r, np.float32) for r in rows.turned]) if len(rows) else np.zeros((1, dim), np.float32)
+    want = max(1, min(max_lists, round(total / list_rows)))
+    one_level = len(sample) // 8 + 1
+    if want <= one_level:
+        lists = Lists(kmeans(sample, want))
+    else:
+        lists = _two_levels(ready, sample, want, total, dim)
+    shipped = spark.sparkContext.broadcast(lists)
+    n_probes = min(probes, len(lists))
 
     def assign(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nearest(x, centres, 1)[:, 0])], names=["same", "list"])
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shipped.value.nearest(x, 1)[:, 0])], names=["same", "list"])
 
     counted = ready.select("same", "turned").mapInArrow(assign, "same bigint, list int").groupBy("list").agg(F.count_distinct("same").alias("n")).toPandas()
-    sizes = np.zeros(len(centres), np.int64)
+    sizes = np.zeros(len(lists), np.int64)
     sizes[counted.list.to_numpy()] = counted.n.to_numpy()
+    cell_of = cells_of_lists(lists.centres, sizes.astype(float), min(len(lists), max(1, round(total / cell_rows))))
 
     def route(batches):
         seen: set[int] = set()
@@ -281,8 +334,8 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
             batch = batch.take(pa.array(fresh, pa.int64()))
             if not len(fresh):
                 continue
-            x = np.stack([np.frombuffer(r, np.float16) for r in batch.column(2).to_pylist()]).astype(np.float32)
-            near = probes_of(x, centres, sizes, n_probes, margin, k)
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, dim)
+            near = probes_of(x, shipped.value, sizes, n_probes, margin, k)
             cell = cell_of[near]
             done = near < 0
             for c in range(near.shape[1]):
@@ -292,10 +345,9 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
                     continue
                 here = (cell[rows] == cell[rows, c][:, None]) & ~done[rows]
                 done[rows] |= here
-                lists = np.where(here, near[rows], -1).astype(np.int32)
-                lists = [r[r >= 0].tolist() for r in lists]
+                asked = [r[r >= 0].tolist() for r in np.where(here, near[rows], -1).astype(np.int32)]
                 taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([taken.column(1), taken.column(2), pa.array(cell[rows, c].astype(np.int32)), pa.array(np.full(len(rows), c == 0)), pa.array(lists, pa.list_(pa.int32()))], names=["same", "turned", "cell", "home", "lists"])
+                yield pa.RecordBatch.from_arrays([taken.column(1), taken.column(2), pa.array(cell[rows, c].astype(np.int32)), pa.array(np.full(len(rows), c == 0)), pa.array(asked, pa.list_(pa.int32()))], names=["same", "turned", "cell", "home", "lists"])
 
     routed = ready.mapInArrow(route, "same bigint, turned binary, cell int, home boolean, lists array<int>")
 
@@ -309,7 +361,7 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
                 fresh.append(n)
         table = table.take(pa.array(fresh, pa.int64()))
         raw = table.column("turned").to_pylist()
-        q = np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), dim).astype(np.float32)
+        q = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), dim)
         home = np.flatnonzero(table.column("home").to_numpy())
         lists = table.column("lists").to_pylist()
         probe = np.full((len(lists), max((len(r) for r in lists), default=1)), -1, np.int32)
@@ -334,6 +386,32 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
     return _expand(ws, ids, groups, knn, k)
 
 
+def _two_levels(ready: DataFrame, sample: np.ndarray, want: int, total: int, dim: int) -> Lists:
+    """About ``want`` lists: those of each coarse list are fitted by one task from its own sampled rows."""
+    coarse = kmeans(sample, min(len(sample) // 8 + 1, math.ceil(math.sqrt(want))))
+    part = min(1.0, TRAIN_ROWS * want / total)
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nearest(x, coarse, 1)[:, 0])], names=["same", "turned", "coarse"])
+
+    def fit(table):
+        # copies of one vector are one
+        raw = sorted(set(table.column("turned").to_pylist()))
+        x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)
+        made = kmeans(x, max(1, round(len(x) / TRAIN_ROWS)))
+        return pa.table({"coarse": pa.array(np.full(len(made), table.column("coarse")[0].as_py(), np.int32)), "centre": pa.array([c.tobytes() for c in made], pa.binary())})
+
+    taken = ready.select("same", "turned").where(F.pmod(F.xxhash64("same", F.lit(9)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    found = taken.mapInArrow(assign, "same bigint, turned binary, coarse int").groupBy("coarse").applyInArrow(fit, "coarse int, centre binary").toPandas()
+    # one row a list, at most about MAX_LISTS
+    found = found.sort_values(["coarse", "centre"])
+    centres = np.frombuffer(b"".join(found.centre), np.float32).reshape(-1, dim)
+    return Lists(centres, coarse, [np.flatnonzero(found.coarse.to_numpy() == c) for c in range(len(coarse))])
+
+
 def _expand(ws: Workspace, ids: DataFrame, groups: DataFrame, knn: DataFrame, k: int) -> DataFrame:
     """From neighbouring groups of equal vectors to neighbours of every vector."""
     names = groups.select(F.col("same").alias("o_same"), F.slice("first", 1, k).alias("o_first"))

@@ -68,6 +68,20 @@ def test_scan_abandons_without_losing_neighbours():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(top, best.i)]) >= 0.95
 
 
+def test_lists_of_two_levels(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((12, 16))
+    rows = [(k, (centres[k % 12] + 0.3 * rng.standard_normal(16)).tolist()) for k in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.vec_a, r.vec_b) for r in vectors.similar_pairs(df, k=5, dim=16, list_rows=6, sample_rows=200, cell_rows=100, probes=30).collect()}
+    want = expected_pairs([(i, np.float32(v)) for i, v in rows], 5)
+    assert len(got & want) >= 0.95 * len(want)
+    # a nearest list of one level is found in two where its coarse list is looked into
+    c = vectors.Lists(rng.standard_normal((40, 16)).astype(np.float32), rng.standard_normal((3, 16)).astype(np.float32), [np.arange(0, 20), np.arange(20, 40), np.arange(0)])
+    x = rng.standard_normal((50, 16)).astype(np.float32)
+    assert (c.nearest(x, 4) == vectors.nearest(x, c.centres, 4)).all()
+
+
 # --- overlap ---------------------------------------------------------------------------------------------------------
 
 
