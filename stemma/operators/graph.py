@@ -72,7 +72,10 @@ def nearest(pairs: DataFrame) -> DataFrame:
 def paths_up(tree: Tree, seed: str, generations: int = 4) -> DataFrame:
     """(generation, path, ancestor_id): one row for each way to an ancestor, the path in roles, as a tree is drawn."""
     ws = Workspace(tree.spark, "paths")
-    edges = ws.save(tree.parent_edge, "edges")
+    edges = tree.edges("roles", tree.parent_edge.select("child_id", "parent_id", "role"))
+    few = _few_paths(tree, edges, seed, min(generations, MAX_ANCESTORS))
+    if few is not None:
+        return few
     level = ids_of(tree, [seed]).join(_everyone(tree), F.col("asked") == F.col("id")).select(F.col("id").alias("ancestor_id"), F.lit("").alias("path"))
     level, out = ws.save(level, "level0"), []
     for g in range(1, min(generations, MAX_ANCESTORS) + 1):
@@ -84,6 +87,25 @@ def paths_up(tree: Tree, seed: str, generations: int = 4) -> DataFrame:
     return union_all(out).select("generation", "path", "ancestor_id") if out else level.withColumn("generation", F.lit(0)).limit(0)
 
 
+def _few_paths(tree: Tree, edges: DataFrame, seed: str, generations: int) -> DataFrame | None:
+    """As paths_up, each level looked up as a list; None as soon as a level has more than FRONTIER paths."""
+    asked = ids_of(tree, [seed]).select(F.col("asked").alias("id")).join(_everyone(tree), "id", "left_semi").collect()
+    level, out = [(r["id"], "") for r in asked], []
+    for g in range(1, generations + 1):
+        met: dict[str, list[tuple[str, str]]] = {}
+        ends = sorted({i for i, _ in level})
+        if not ends:
+            break
+        # at most two parents a person, so no more rows than twice the level
+        for r in edges.where(F.col("child_id").isin(ends)).collect():
+            met.setdefault(r["child_id"], []).append((r["parent_id"], r["role"]))
+        level = [(p, f"{path}/{role}" if path else role) for i, path in level for p, role in met.get(i, ())]
+        if len(level) > FRONTIER:
+            return None
+        out += [(g, path, p) for p, path in level]
+    return tree.spark.createDataFrame(out, "generation int, path string, ancestor_id string")
+
+
 def terminal(tree: Tree, seed: str, generations: int = 20) -> DataFrame:
     """Ancestors whose family of birth names no parent, with the first path (father before mother) that reaches them."""
     ends = tree.famc_parents.select(F.col("child_id").alias("c")).distinct()
@@ -127,7 +149,10 @@ def neighbours(tree: Tree, direction: str) -> DataFrame:
 def traverse(tree: Tree, seed: str, direction: str, depth: int = 1) -> DataFrame:
     """(id, level): breadth first, each person at the level first reached, the start left out."""
     ws = Workspace(tree.spark, "traverse")
-    edges = ws.save(neighbours(tree, direction).distinct(), "edges")
+    edges = tree.edges(direction, neighbours(tree, direction))
+    few = _few_steps(tree, edges, seed, max(1, min(depth, MAX_TRAVERSE)))
+    if few is not None:
+        return few
     seen = ids_of(tree, [seed]).join(_everyone(tree), F.col("asked") == F.col("id")).select("id", F.lit(0).alias("level"))
     seen = ws.save(seen, "seen0")
     for k in range(1, max(1, min(depth, MAX_TRAVERSE)) + 1):
@@ -140,6 +165,21 @@ def traverse(tree: Tree, seed: str, direction: str, depth: int = 1) -> DataFrame
     return seen.where("level > 0")
 
 
+def _few_steps(tree: Tree, edges: DataFrame, seed: str, depth: int) -> DataFrame | None:
+    """As traverse, each level looked up as a list; None as soon as a level has more than FRONTIER edges."""
+    new = [r["id"] for r in ids_of(tree, [seed]).select(F.col("asked").alias("id")).join(_everyone(tree), "id", "left_semi").collect()]
+    seen = {i: 0 for i in new}
+    for k in range(1, depth + 1):
+        if not new:
+            break
+        met = edges.where(F.col("a").isin(new)).limit(FRONTIER + 1).collect()
+        if len(met) > FRONTIER:
+            return None
+        new = sorted({r["b"] for r in met} - seen.keys())
+        seen |= {i: k for i in new}
+    return tree.spark.createDataFrame([(i, k) for i, k in seen.items() if k], "id string, level int")
+
+
 def pedigree_collapse(tree: Tree, seed: str, generations: int = 10) -> DataFrame:
     """(ancestor_id, occurrences, paths): ancestors reached by more than one path."""
     up = paths_up(tree, seed, generations)
