@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.plans.workspace import Workspace
+from stemma.plans.workspace import Workspace, cores
 
 SAMPLE_ROWS, TRAIN_ROWS = 12_000, 8
 LIST_ROWS, MAX_LISTS = 600, 65_536
@@ -319,7 +319,8 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
     counted = ready.select("same", "turned").mapInArrow(assign, "same bigint, list int").groupBy("list").agg(F.count_distinct("same").alias("n")).toPandas()
     sizes = np.zeros(len(lists), np.int64)
     sizes[counted.list.to_numpy()] = counted.n.to_numpy()
-    cell_of = cells_of_lists(lists.centres, sizes.astype(float), min(len(lists), max(1, round(total / cell_rows))))
+    n_cells = min(len(lists), max(1, round(total / cell_rows)))
+    cell_of = cells_of_lists(lists.centres, sizes.astype(float), n_cells)
 
     def route(batches):
         seen: set[int] = set()
@@ -378,7 +379,8 @@ def similar(vectors: DataFrame, k: int = 10, dim: int = 128, key: str = "vec_id"
         lists_of = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
         return pa.table({"same": pa.array(names[some]), "cos": lists_of((1 - far[ok] / 2).astype(np.float32)), "near": lists_of(names[home[found[ok]]])})
 
-    found = routed.groupBy("cell").applyInArrow(search, "same bigint, cos array<float>, near array<bigint>")
+    # about a cell a task, however many there are
+    found = routed.repartition(max(cores(spark), 2 * n_cells), "cell").groupBy("cell").applyInArrow(search, "same bigint, cos array<float>, near array<bigint>")
     # a vector was searched in a few cells, at most as many as it has probes
     both = lambda c, n: F.struct(c.alias("cos"), n.alias("same"))
     zipped = F.flatten(F.transform(F.collect_list(F.struct("cos", "near")), lambda r: F.zip_with(r["cos"], r["near"], both)))
