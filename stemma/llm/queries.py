@@ -75,4 +75,20 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p7_ids, p8_containers, p8_fill, p9_found, p9_redacted)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # the words two texts must share include one of the rarest of each; what meets by these is counted in full
+    "p2_found": """WITH texts AS (
+  SELECT id || '#' || CAST(generate_subscripts(notes, 1) - 1 AS VARCHAR) AS record, unnest(notes) AS text FROM (SELECT * FROM individuals QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, ord DESC) = 1) WHERE id IS NOT NULL
+  UNION ALL SELECT 'C' || CAST(citation_id AS VARCHAR), text FROM (SELECT * FROM citations QUALIFY row_number() OVER (PARTITION BY citation_id ORDER BY loaded_at DESC, ord DESC) = 1)),
+bags AS (SELECT record, list_sort(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))) AS w FROM texts WHERE text IS NOT NULL),
+long AS (SELECT record, w, len(w) AS n, dense_rank() OVER (ORDER BY w) AS no FROM bags WHERE len(w) >= 20),
+one AS (SELECT DISTINCT no, w, n FROM long),
+words AS (SELECT no, n, word, row_number() OVER (PARTITION BY no, word) AS nth FROM (SELECT no, n, unnest(w) AS word FROM one)),
+df AS (SELECT word, nth, count(*) AS f FROM words GROUP BY ALL),
+ranked AS (SELECT no, n, word, nth, f, row_number() OVER (PARTITION BY no ORDER BY f, word, nth) AS k FROM words JOIN df USING (word, nth)),
+prefix AS (SELECT * FROM ranked WHERE k <= n - CAST(ceil(0.8 * n - 1e-9) AS INTEGER) + 1),
+met AS (SELECT DISTINCT a.no AS x, b.no AS y FROM prefix a JOIN prefix b ON a.word = b.word AND a.nth = b.nth AND a.no < b.no AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+shared AS (SELECT x, y FROM met JOIN words a ON a.no = x JOIN words b ON b.no = y AND b.word = a.word AND b.nth = a.nth GROUP BY x, y HAVING count(*) >= 0.8 * greatest(any_value(a.n), any_value(b.n)) - 1e-9),
+pairs AS (SELECT p.record AS r, q.record AS s FROM shared JOIN long p ON p.no = x JOIN long q ON q.no = y UNION ALL SELECT p.record, q.record FROM long p JOIN long q ON p.no = q.no AND p.record < q.record)
+SELECT DISTINCT least(r, s) AS record_a, greatest(r, s) AS record_b FROM pairs WHERE r <> s""",
+}
