@@ -16,7 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.plans.workspace import cores, spread
@@ -144,6 +145,12 @@ def vocabulary(path: str) -> BytePairs:
     return BytePairs(path)
 
 
+def sent(spark: SparkSession, path: str) -> str:
+    """The name under which executors find the file, which only the driver need have."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def token_ids(documents: DataFrame, path: str = BYTE_BPE_50K, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids: array<int>): ids of each whole text, without special tokens.
 
@@ -152,9 +159,10 @@ def token_ids(documents: DataFrame, path: str = BYTE_BPE_50K, key: str = "doc_id
     """
     df = documents.select(F.col(key), F.col(text).alias("_text"))
     df = spread(df, cores(df.sparkSession))
+    name = sent(df.sparkSession, path)
 
     def run(batches):
-        vocab = vocabulary(path)
+        vocab = vocabulary(SparkFiles.get(name))
         for batch in batches:
             flat, ends = [], [0]
             for t in batch.column(1).to_pylist():
@@ -171,9 +179,10 @@ def token_counts(documents: DataFrame, path: str = BYTE_BPE_50K, text: str = "te
     """The rows with their text replaced by its number of tokens: 0 for null and empty texts."""
     rest = [c for c in documents.columns if c != text]
     df = spread(documents.select(*rest, F.col(text).alias("_text")), cores(documents.sparkSession))
+    name = sent(documents.sparkSession, path)
 
     def run(batches):
-        vocab = vocabulary(path)
+        vocab = vocabulary(SparkFiles.get(name))
         for batch in batches:
             n = [len(vocab.encode(t)) if t else 0 for t in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(n, pa.int32())], names=[*rest, out])
