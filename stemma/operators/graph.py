@@ -4,7 +4,7 @@ does a level keep one row a path."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stemma.operators.lookup import ids_of
@@ -33,13 +33,20 @@ def closure(tree: Tree, generations: int = 10, seeds: list[str] | None = None, d
     else:
         edges = ws.save(edges.distinct(), "edges")
     start = _everyone(tree) if seeds is None else ids_of(tree, seeds).join(_everyone(tree), F.col("asked") == F.col("id")).select("id")
-    level = ws.save(start.select(F.col("id").alias("root_id"), F.col("id").alias("relative_id")), "level0")
+    return levels_of(ws, start.select(F.col("id").alias("root_id"), F.col("id").alias("relative_id")), edges, generations)
+
+
+def levels_of(ws: Workspace, level: DataFrame, edges: DataFrame, generations: int) -> DataFrame:
+    """(root_id, relative_id, generation), distinct, from level(root_id, relative_id) along edges(a, b); each level is a
+    table, counted as it is written."""
     levels = []
     for g in range(1, generations + 1):
-        level = ws.save(level.join(edges, level.relative_id == edges.a).select("root_id", F.col("b").alias("relative_id")).distinct(), f"level{g}")
-        levels.append(level.withColumn("generation", F.lit(g)))
-        if level.isEmpty():
+        seen = Observation()
+        step = level.join(edges, level.relative_id == edges.a).select("root_id", F.col("b").alias("relative_id")).distinct()
+        level = ws.save(step.observe(seen, F.count(F.lit(1)).alias("n")), f"level{g}")
+        if not seen.get["n"]:
             break
+        levels.append(level.withColumn("generation", F.lit(g)))
     return union_all(levels) if levels else level.withColumn("generation", F.lit(0)).limit(0)
 
 

@@ -9,6 +9,7 @@ from stemma.functions import exprs as X
 from stemma.operators import graph
 from stemma.operators.lookup import ids_of
 from stemma.plans.model import Tree
+from stemma.plans.tables import union_all
 from stemma.plans.workspace import Workspace
 
 
@@ -30,11 +31,6 @@ def relate(tree: Tree, pairs: DataFrame, generations: int | None = 10) -> DataFr
     base = pairs.join(side(1).withColumnRenamed("id1", "k1"), F.col("id1") == F.col("k1"), "left").join(side(2).withColumnRenamed("id2", "k2"), F.col("id2") == F.col("k2"), "left")
     same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
 
-    def flag(rows: DataFrame, name: str) -> DataFrame:
-        """rows(a, b) as a column of the pairs."""
-        r = rows.distinct().select(F.col("a").alias(f"{name}_a"), F.col("b").alias(f"{name}_b"), F.lit(True).alias(name))
-        return r
-
     wed = tree.spouse_family.select(F.col("person_id").alias("a"), F.explode(F.array("husband_id", "wife_id")).alias("b")).where("b is not null")
     # grandparents, and the families that are a parent's family of birth
     parents = born.select("id", F.explode(F.array("dad", "mum")).alias("par")).where("par is not null")
@@ -42,16 +38,18 @@ def relate(tree: Tree, pairs: DataFrame, generations: int | None = 10) -> DataFr
     up2 = ws.save(up2.select("id", "family_id", "husband_id", "wife_id"), "up2")
     grand = up2.select(F.col("id").alias("a"), F.explode(F.array("husband_id", "wife_id")).alias("b")).where("b is not null")
     aunts = up2.join(tree.family_children, "family_id").select(F.col("id").alias("a"), F.col("child_id").alias("b"))
-    up = graph.nearest(_closure_of(tree, ws, who, depth))
-    up = ws.save(up, "up")
-    flags = {"is_spouse": flag(wed, "is_spouse"), "grand1": flag(grand, "grand1"), "aunt1": flag(aunts, "aunt1")}
+    edges = tree.edges("up", tree.parent_edge.select(F.col("child_id").alias("a"), F.col("parent_id").alias("b")))
+    start = who.select(F.col("id").alias("root_id"), F.col("id").alias("relative_id"))
+    up = ws.save(graph.nearest(graph.levels_of(ws, start, edges, depth)), "up")
+    # all that is known of an ordered pair in one row: married, grandparent, child of a grandparent's family, ancestor
+    kind = lambda rows, name: rows.select("a", "b", F.lit(name).alias("kind"), F.lit(None).cast("int").alias("g"))
+    known = union_all([kind(wed, "wed"), kind(grand, "grand"), kind(aunts, "aunt"), up.select(F.col("root_id").alias("a"), F.col("relative_id").alias("b"), F.lit("up").alias("kind"), F.col("generation").alias("g"))])
+    has = lambda name: F.max(F.col("kind") == name).alias(name)
+    known = ws.save(known.groupBy("a", "b").agg(has("wed"), has("grand"), has("aunt"), F.min("g").alias("g")), "known")
     out = base
-    for name in ("is_spouse", "grand1", "aunt1"):
-        out = out.join(flags[name], (F.col("id1") == F.col(f"{name}_a")) & (F.col("id2") == F.col(f"{name}_b")), "left").drop(f"{name}_a", f"{name}_b")
-    for name, rows in (("grand2", grand), ("aunt2", aunts)):
-        out = out.join(flag(rows, name), (F.col("id2") == F.col(f"{name}_a")) & (F.col("id1") == F.col(f"{name}_b")), "left").drop(f"{name}_a", f"{name}_b")
-    anc = lambda n, a, b: up.select(F.col("root_id").alias(f"x{n}"), F.col("relative_id").alias(f"y{n}"), F.col("generation").alias(n))
-    out = out.join(anc("g12", "id1", "id2"), (F.col("id1") == F.col("xg12")) & (F.col("id2") == F.col("yg12")), "left").join(anc("g21", "id2", "id1"), (F.col("id2") == F.col("xg21")) & (F.col("id1") == F.col("yg21")), "left")
+    for n, (a, b) in ((1, ("id1", "id2")), (2, ("id2", "id1"))):
+        k = known.select(F.col("a").alias("ka"), F.col("b").alias("kb"), F.col("wed").alias(f"wed{n}"), F.col("grand").alias(f"grand{n}"), F.col("aunt").alias(f"aunt{n}"), F.col("g").alias(f"up{n}"))
+        out = out.join(k, (F.col(a) == F.col("ka")) & (F.col(b) == F.col("kb")), "left").drop("ka", "kb")
     one = up.select(F.col("root_id").alias("r1"), F.col("relative_id").alias("c1"), F.col("generation").alias("n1"))
     two = up.select(F.col("root_id").alias("r2"), F.col("relative_id").alias("c2"), F.col("generation").alias("n2"))
     common = pairs.join(one, pairs.id1 == one.r1).join(two, (F.col("id2") == F.col("r2")) & (F.col("c1") == F.col("c2")))
@@ -66,13 +64,13 @@ def relate(tree: Tree, pairs: DataFrame, generations: int | None = 10) -> DataFr
         .when(F.col("id1") == F.col("id2"), "same person")
         .when(same("dad1", "id2") | same("mum1", "id2"), "child")
         .when(same("dad2", "id1") | same("mum2", "id1"), "parent")
-        .when(F.col("is_spouse"), "spouse")
+        .when(F.col("wed1"), "spouse")
         .when(same("fam1", "fam2"), "sibling")
         .when(shared, "half-sibling")
         .when(F.col("grand1"), "grandchild")
         .when(F.col("grand2"), "grandparent")
-        .when(F.col("g12").isNotNull(), X.ancestor_name(F.col("g12")))
-        .when(F.col("g21").isNotNull(), X.descendant_name(F.col("g21")))
+        .when(F.col("up1").isNotNull(), X.ancestor_name(F.col("up1")))
+        .when(F.col("up2").isNotNull(), X.descendant_name(F.col("up2")))
         .when(F.col("aunt1"), "niece/nephew")
         .when(F.col("aunt2"), "aunt/uncle")
         .when(F.col("n1").isNotNull() & (degree >= 1), cousin)
@@ -83,19 +81,6 @@ def relate(tree: Tree, pairs: DataFrame, generations: int | None = 10) -> DataFr
     return out.select("id1", "id2", "relationship", F.when(F.col("relationship").contains(" cousin"), F.col("nearest")).alias("common_ancestor"))
 
 
-def _closure_of(tree: Tree, ws: Workspace, who: DataFrame, depth: int) -> DataFrame:
-    from stemma.plans.tables import union_all
-
-    edges = ws.save(tree.parent_edge.select(F.col("child_id").alias("a"), F.col("parent_id").alias("b")).distinct(), "edges")
-    level, levels = ws.save(who.select(F.col("id").alias("root_id"), F.col("id").alias("relative_id")), "u0"), []
-    for g in range(1, depth + 1):
-        level = ws.save(level.join(edges, level.relative_id == edges.a).select("root_id", F.col("b").alias("relative_id")).distinct(), f"u{g}")
-        levels.append(level.withColumn("generation", F.lit(g)))
-        if level.isEmpty():
-            break
-    return union_all(levels)
-
-
 def matrix(tree: Tree, ids: list[str], generations: int = 10) -> DataFrame:
     """All unordered pairs of a request's distinct ids, in its order: n * (n - 1) / 2 rows."""
     a = ids_of(tree, ids)
