@@ -796,11 +796,59 @@ def ingest_families(t: Tree) -> DataFrame:
 oracle("ingest_families", "SELECT family_id AS id, husband_id, wife_id, array_to_string(list_filter(children_ids, lambda x: x IS NOT NULL), ' ') AS children, marriage_date, marriage_place FROM f")
 
 
+def _written(t: Tree, rows: DataFrame):
+    from stemma.plans.workspace import Workspace
+    from stemma.sources.lineage_text import LineageText
+
+    path = Workspace(t.spark, "lineage").path("text")
+    rows.write.text(path)
+    return LineageText(t.spark, path)
+
+
+def _event_text(t: Tree):
+    from stemma.sources.lineage_text import render_events
+
+    return _written(t, render_events(t.events.where("individual_id is not null"), t.citations))
+
+
 @query
 def ingest_events(t: Tree) -> DataFrame:
-    return _text(t).events().select("individual_id", "event_ord", "type", "date", "place")
+    """All events written as lineage text and read again; they are numbered anew."""
+    e = _event_text(t).events()
+    return e.select("individual_id", "event_ord", "type", "date", "place", "description", F.size("notes").alias("n_notes"))
+
+
+PLAIN = lambda x: f"nullif({x}, '')"
+NUMBERED = "SELECT *, CAST(row_number() OVER (PARTITION BY individual_id ORDER BY event_ord) - 1 AS INTEGER) AS nth FROM ev WHERE individual_id IS NOT NULL"
+oracle("ingest_events", f"""SELECT individual_id, nth AS event_ord, type, {PLAIN('date')} AS date, {PLAIN('place')} AS place, CASE WHEN type = 'EVEN' THEN {PLAIN('description')} END AS description,
+CAST(coalesce(len(list_filter(notes, lambda x: x IS NOT NULL)), 0) AS INTEGER) AS n_notes FROM ({NUMBERED})""")
+
+
+@query
+def ingest_citations(t: Tree) -> DataFrame:
+    c = _event_text(t).citations()
+    return c.select("individual_id", "event_ord", "cite_ord", "source_id", "page", "url", F.length(F.regexp_replace("text", r"[\r\n]", "")).alias("text_length"))
+
+
+oracle("ingest_citations", f"""SELECT c.individual_id, nth AS event_ord, CAST(row_number() OVER (PARTITION BY c.individual_id, nth ORDER BY cite_ord) - 1 AS INTEGER) AS cite_ord, source_id, {PLAIN('page')} AS page, {PLAIN('url')} AS url,
+CAST(length(regexp_replace({PLAIN('text')}, '[\r\n]', '', 'g')) AS INTEGER) AS text_length FROM ci c JOIN ({NUMBERED}) e ON e.individual_id = c.individual_id AND e.event_ord = c.event_ord WHERE source_id IS NOT NULL""")
+
+
+@query
+def ingest_sources(t: Tree) -> DataFrame:
+    from stemma.sources.lineage_text import render_sources
+
+    return _written(t, render_sources(t.sources, t.repositories)).sources().drop("rec")
+
+
+oracle("ingest_sources", f"SELECT id, {', '.join(f'{PLAIN(c)} AS {c}' for c in ('title', 'author', 'publication'))}, {ptr('repository_id')} AS repository_id, {PLAIN('note')} AS note FROM sources")
+
+
+@query
+def ingest_repositories(t: Tree) -> DataFrame:
+    from stemma.sources.lineage_text import render_sources
+
+    return _written(t, render_sources(t.sources, t.repositories)).repositories()
 
 
-oracle("ingest_events", """SELECT individual_id, CAST(row_number() OVER (PARTITION BY individual_id ORDER BY o) - 1 AS INTEGER) AS event_ord, type, date, place FROM (
-SELECT id AS individual_id, 0 AS o, 'BIRT' AS type, birth_date AS date, birth_place AS place FROM p WHERE birth_date IS NOT NULL OR birth_place IS NOT NULL
-UNION ALL SELECT id, 1, 'DEAT', death_date, death_place FROM p WHERE death_date IS NOT NULL OR death_place IS NOT NULL)""")
+oracle("ingest_repositories", f"SELECT id, {', '.join(f'{PLAIN(c)} AS {c}' for c in ('name', 'address', 'url'))} FROM repositories")

@@ -131,3 +131,29 @@ def render(individuals: DataFrame, families: DataFrame) -> DataFrame:
         F.when(F.col("marriage_date").isNotNull() | F.col("marriage_place").isNotNull(), F.concat_ws("\n", F.lit("1 MARR"), _tagged(2, "DATE", F.col("marriage_date")), _tagged(2, "PLAC", F.col("marriage_place")))),
     )
     return i.select(person.alias("value")).unionByName(families.select(fam.alias("value")))
+
+
+def render_events(events: DataFrame, citations: DataFrame) -> DataFrame:
+    """(value): a record for each person with its events in order, their notes, and the events' citations in order; an
+    event whose citations name no source still has its lines."""
+    under = F.concat_ws(
+        "\n", _tagged(2, "SOUR", F.col("source_id")), _tagged(3, "PAGE", F.col("page")),
+        F.when(F.col("text").isNotNull() | F.col("url").isNotNull(), F.concat_ws("\n", F.lit("3 DATA"), _tagged(4, "TEXT", F.col("text")), _tagged(4, "WWW", F.col("url")))),
+    )
+    in_order = lambda key: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, F.col("lines")))), lambda x: x["lines"]), "\n")
+    cited = citations.where("source_id is not null").select(F.col("individual_id").alias("c_id"), F.col("event_ord").alias("c_ord"), "cite_ord", under.alias("lines"))
+    cited = cited.groupBy("c_id", "c_ord").agg(in_order("cite_ord").alias("cited"))
+    e = events.join(cited, (F.col("individual_id") == F.col("c_id")) & (F.col("event_ord") == F.col("c_ord")), "left")
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("1 "), F.col("type")), F.when(F.col("type") == "EVEN", _tagged(2, "TYPE", F.col("description"))), _tagged(2, "DATE", F.col("date")), _tagged(2, "PLAC", F.col("place")),
+        F.nullif(F.array_join(F.transform("notes", lambda x: _tagged(2, "NOTE", x)), "\n"), F.lit("")), "cited",
+    )
+    people = e.select("individual_id", "event_ord", lines.alias("lines")).groupBy("individual_id").agg(in_order("event_ord").alias("body"))
+    return people.select(F.concat(F.lit("0 "), F.col("individual_id"), F.lit(" INDI\n"), F.col("body")).alias("value"))
+
+
+def render_sources(sources: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(value): a record for each source and each repository."""
+    record = lambda tag, **cols: F.concat_ws("\n", F.concat(F.lit("0 "), F.col("id"), F.lit(f" {tag}")), *[_tagged(1, t, F.col(c)) for t, c in cols.items()])
+    of_sources = sources.select(record("SOUR", TITL="title", AUTH="author", PUBL="publication", REPO="repository_id", NOTE="note").alias("value"))
+    return of_sources.unionByName(repositories.select(record("REPO", NAME="name", ADDR="address", WWW="url").alias("value")))
