@@ -53,6 +53,7 @@ STREET = re.compile(
 #: White space that may stand inside a name: without and with the narrow kinds.
 WHITE, WHITE_LINE = " \u00a0\u200b\t", " \u00a0\u200b\t\u2009\u202f\ufeff"
 WEB = re.compile(r"(?:https?://|www\.)\S+")
+DIGIT = re.compile(r"\d")
 TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+(?:['’\-][A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+)*")
 TITLES = {"mr", "mrs", "miss", "ms", "dr", "rev", "capt", "sir", "mme", "mlle", "m", "herr", "frau", "abbé", "l'abbé", "l’abbé", "widow", "frl", "lady", "prof", "sgt", "lt", "col", "maj", "pfarrer", "fräulein", "dame"}
 SHIPS = {"brig", "ship", "schooner", "barque", "bark", "steamer", "sloop", "vessel", "boat", "hms", "ss"}
@@ -159,14 +160,14 @@ def propose(text: str, lists: Lists) -> list[Span]:
     out = [Span(m.start(), m.end(), 0, 0) for m in EMAIL.finditer(text)] if "@" in text or AT.search(text) else []
     shut = [(s.start, s.end) for s in out] + [(m.start(), m.end()) for m in WEB.finditer(text)]
     free = lambda a, b: all(b <= x or a >= y for x, y in shut)
-    if any(c.isdigit() for c in text):
+    if DIGIT.search(text):
         out += [Span(m.start(), m.end(), 1, 1) for m in PHONE.finditer(text) if free(m.start(), m.end())]
         out += [Span(m.start(), m.end(), 2, 2) for m in ID_NUMBER.finditer(text) if free(m.start(), m.end())]
         sure = [(s.start, s.end) for s in out if s.kind == 2]
         out += [Span(m.start(), m.end(), 2, 20) for m in NUMBER.finditer(text) if free(m.start(), m.end()) and all(m.end() <= x or m.start() >= y for x, y in sure)]
         out += [Span(m.start(), m.end(), 3, 3) for m in STREET.finditer(text) if free(m.start(), m.end())]
     streets = [(s.start, s.end) for s in out if s.kind == 3]
-    tokens = [(m.group(), *m.span()) for m in TOKEN.finditer(text)]
+    tokens = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)]
     n = len(tokens)
     known = lists.low
     low = [known[t] for t, _, _ in tokens]
@@ -449,14 +450,14 @@ class Finder:
         return out
 
 
-def planted(text: str, lists: Lists, people: list[tuple[str, str]], towns: list[str], rng: np.random.Generator) -> list[tuple[list[float], int, int]]:
+def planted(text: str, spans: list[Span], lists: Lists, people: list[tuple[str, str]], towns: list[str], rng: np.random.Generator) -> list[tuple[list[float], int, int]]:
     """(features, label, kind) of proposals in a copy of the text in which some items were exchanged: names that the seed
     rules are sure of by a person's name in another order or style, or by a town, a house, a firm or a ship named like a
     person; numbers by an invented telephone or identity number, or by a lot, film or page. What was planted is known,
     so these labels do not come from the features: of the proposals that touch a plant, 1 is the plant of its kind
     from end to end, 0 is any other."""
     chosen, last = [], -1
-    for s in sorted(propose(text, lists), key=lambda s: (s.start, s.end)):
+    for s in sorted(spans, key=lambda s: (s.start, s.end)):
         if s.start > last and rng.random() < 0.5 and s.kind in (1, 2, 4) and seed(text, s, features(text, s)) == 1:
             chosen.append(s)
             last = s.end + 1
@@ -500,9 +501,10 @@ def train(texts: list[str], lists: Lists, people: list[tuple[str, str]] = (), to
     rng = np.random.default_rng(13)
     xs, ys, kinds, source = [], [], [], []
     for t in texts:
-        rows = [(x, y, s.kind, 0) for s in propose(t, lists) if (y := seed(t, s, x := features(t, s))) is not None]
+        spans = propose(t, lists)
+        rows = [(x, y, s.kind, 0) for s in spans if (y := seed(t, s, x := features(t, s))) is not None]
         if people and towns:
-            rows += [(*r, 1) for r in planted(t, lists, people, towns, rng)]
+            rows += [(*r, 1) for r in planted(t, spans, lists, people, towns, rng)]
         for x, y, k, by in rows:
             xs.append(x)
             ys.append(y)

@@ -308,7 +308,7 @@ def test_planted_labels_are_known_by_construction():
     for w, kind in (("john", 0), ("mary", 0), ("tomkin", 1), ("barlow", 1), ("west", 1)):
         lists.tables[kind, personal.bucket(w)] = 9
     text = "Dear Mr. Tomkin, John Barlow came. Ring tel. (555) 555-1234. The card number is 123-45-6789. Then Mary Barlow left. "
-    rows = [r for n in range(60) for r in personal.planted(text, lists, [("John", "West"), ("Mary", "Tomkin")], ["Oldham"], np.random.default_rng(n))]
+    rows = [r for n in range(60) for r in personal.planted(text, personal.propose(text, lists), lists, [("John", "West"), ("Mary", "Tomkin")], ["Oldham"], np.random.default_rng(n))]
     assert {(y, k) for _, y, k in rows} >= {(1, 1), (1, 2), (1, 4), (0, 4)}
     found_by = personal.train([text] * 60, lists, [("John", "West"), ("Mary", "Tomkin")], ["Oldham"], report=(report := {}))
     assert set(report) >= {"name", "phone"} and all(0.1 <= v[3] < 1 for v in report.values()) and found_by.least[4] == report["name"][3]
