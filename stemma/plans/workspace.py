@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -32,6 +33,17 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_left: set[str] = set()
+
+
+def clear_at_end(spark: SparkSession) -> None:
+    """Clears the application's tables when the driver's Python ends, if the session still runs then."""
+    app = spark.sparkContext.applicationId
+    if app not in _left:
+        _left.add(app)
+        atexit.register(lambda: clear(spark) if spark.sparkContext._jsc is not None else None)
+
+
 class Workspace:
     """A folder of its own for each run of an operator.
 
@@ -40,6 +52,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        clear_at_end(spark)
         self.spark = spark
         self.root = f"{home(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
