@@ -131,7 +131,7 @@ def overlapping(records: DataFrame, share: float = 0.8, least: int = 20, id_col:
     """
     spark = records.sparkSession
     ws = Workspace(spark, "overlap")
-    given = records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("record"), F.col(text_col).alias("text"))
+    given = records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("record"), F.col(text_col).alias("text"))
 
     def read(batches):
         for batch in batches:
