@@ -177,6 +177,24 @@ def test_a_window_goes_on_where_matches_do(spark):
     assert addresses.same_location_pairs(df, window=4).where("id_a like 'x%'").count() == 40 * 39 // 2
 
 
+def test_repeated_rows_part_no_location(spark):
+    # a misspelt town and street of one row each are as rare beside the right ones however often all rows are repeated
+    rows = [(f"x{k}", f"{k} Mill Street, Wendlebrook, Kent County, Westria, Kingdom of Sarn", None, None) for k in range(12)]
+    rows += [("y1", "1 Mill Street, Wendlebrok, Kent County, Westria", None, None), ("y2", "2 Miill Street, Wendlebrook, Kent County, Westria", None, None)]
+    rows += [(f"f{k}", f"{k} Elm Road, Town{chr(97 + k % 26)}ville, {c} County, Westria, Kingdom of Sarn", None, None) for k in range(60) for c in ("Surrey", "Dorset", "Sussex", "Norfolk", "Devonish", "Cornwall")[k % 6 : k % 6 + 1]]
+    df = spark.createDataFrame(rows, "id string, original string, latitude double, longitude double")
+    for copies in (1, 40):
+        many = df.crossJoin(spark.range(copies).select(F.col("id").alias("copy"))).withColumn("id", F.concat_ws("-", "id", "copy"))
+        found = addresses.locations(many).where("id like 'x%' or id like 'y%'").withColumn("base", F.substring_index("id", "-", 1)).groupBy("location").agg(F.collect_set("base").alias("ids"), F.count("*").alias("n")).collect()
+        groups = {tuple(sorted(r["ids"])): r["n"] for r in found}
+        assert groups == {("x1", "y1"): 2 * copies, ("x2", "y2"): 2 * copies, **{(f"x{k}",): copies for k in range(12) if k not in (1, 2)}}
+
+
+def test_windows_reach_over_short_runs():
+    assert addresses.seen_before({0: 9000, 1: 9000}, 240) == [(1, 0, 240)]
+    assert addresses.seen_before({0: 5, 2: 100, 3: 200, 5: 9}, 240) == [(2, 0, 240), (3, 2, 240), (3, 0, 140), (5, 3, 240), (5, 2, 40)]
+
+
 def test_edits():
     assert addresses.edits("street", "stereet", 2) == 1 and addresses.edits("ab", "ba", 2) == 1 and addresses.edits("kitten", "sitting", 2) == 3
 
