@@ -195,6 +195,28 @@ def test_windows_reach_over_short_runs():
     assert addresses.seen_before({0: 5, 2: 100, 3: 200, 5: 9}, 240) == [(2, 0, 240), (3, 2, 240), (3, 0, 140), (5, 3, 240), (5, 2, 40)]
 
 
+def test_a_typo_stays_within_a_window_however_many_towns():
+    rng = random.Random(7)
+    heads, tails = [a + b + c for a in "bdfghklmnprstw" for b in "aeiou" for c in "lnrst"], ["combe", "minster", "thorpe", "stead", "hurst", "bridge", "worth", "field"]
+    towns = sorted({rng.choice(heads) + rng.choice(heads) + rng.choice(tails) for _ in range(20_000)})
+    reading = lambda town, kind, name, type: {"kind": kind, "number": "", "name": name, "type": type, "town": town, "county": "kent", "regions": ""}
+    for kind, name, type in (("town", "", ""), ("site", "saint alban", "chapel")):
+        typos = [(t, t[:k] + rng.choice("bcdfgjkmpqvwxz") + t[k + 1 :]) for t in rng.sample(towns, 300) for k in [rng.randrange(1, len(t) - 1)]]
+        near = set()
+        for of_pass in zip(*(addresses.keys(reading(t, kind, name, type)) for t in towns + [w for _, w in typos])):
+            order = sorted((k, n) for n, k in enumerate(of_pass))
+            at = {n: place for place, (_, n) in enumerate(order)}
+            where = {t: at[n] for n, t in enumerate(towns)}
+            near |= {n for n, (t, _) in enumerate(typos) if abs(where[t] - at[len(towns) + n]) <= addresses.WINDOW}
+        assert len(near) >= 0.99 * len(typos)
+
+
+def test_a_misspelt_county_before_its_town():
+    reader = addresses.Reader(["quenlenmark", "kent"], ["westria"])
+    for text in ("Westria, Quenlenmaek, Bramibridge, 18 Larch Avenue", "18 Larch Avenue, Bramibridge, Quenlenmaek, Westria", "Westria, Quenlenmark, Bramibridge, 18 Larch Avenue"):
+        assert reader.read(text)[4:6] == ("bramibridge", "quenlenmark")
+
+
 def test_edits():
     assert addresses.edits("street", "stereet", 2) == 1 and addresses.edits("ab", "ba", 2) == 1 and addresses.edits("kitten", "sitting", 2) == 3
 
